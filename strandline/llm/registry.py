@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ngramlm, toxicity
+from . import exact_dedup, langid, mixing, ngramlm, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,6 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op6_mix_sources, op8_toxicity, op9_class_lm)
+    f.__name__: f for f in (op2_exact_dedup, op4_language_id, op6_mix_sources, op8_toxicity, op9_class_lm)
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_mix_sources": mixing.SQL}

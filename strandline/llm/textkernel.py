@@ -49,16 +49,19 @@ def _joined(parts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return b"\n".join(parts) + b"\n", np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
 
 
-def word_hashes(buf: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, separators: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple:
     """64-bit hash, start and end of each maximal run of bytes that are no separators.
 
     The hash is multilinear in the bytes (a random odd weight for each position), then finalised.
+    With ``prefixes``, a fourth item lists (places of the words longer than the prefix, hash of
+    their first so many bytes) for each.
     """
     sep = separators[buf]
     edge = np.diff(np.concatenate([[1], sep.view(np.int8), [1]]))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.empty(0, np.uint64), starts, ends
+        none = np.empty(0, np.uint64)
+        return (none, starts, ends, [(starts, none)] * len(prefixes)) if prefixes else (none, starts, ends)
     lengths = ends - starts
     offsets = np.cumsum(lengths) - lengths
     at = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(offsets, lengths)
@@ -66,7 +69,17 @@ def word_hashes(buf: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np
     value *= _WEIGHTS[at & (_POSITIONS - 1)]
     if lengths.max() > _POSITIONS:
         value *= (at >> 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    return mix64(np.add.reduceat(value, offsets)), starts, ends
+    h = mix64(np.add.reduceat(value, offsets))
+    if not prefixes:
+        return h, starts, ends
+    more = []
+    for n in prefixes:
+        longer = np.flatnonzero(lengths > n)
+        total = np.zeros(len(longer), np.uint64)
+        for j in range(n):
+            total += value[offsets[longer] + j]
+        more.append((longer, mix64(total + np.uint64(n))))
+    return h, starts, ends, more
 
 
 def words(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -15,8 +15,10 @@ from .common import crc32_mod
 #: Labelled documents that the model is fitted on, at most: those with the least hashes.
 TRAIN_DOCUMENTS = 12_000
 FEATURE_BITS = 20
+#: Besides whole words, their first so many bytes are features, which catch inflected forms.
+PREFIXES = (4, 6, 8)
 #: Words that enter the model: at least so many documents, and so far from chance.
-MIN_DOCUMENTS, MIN_Z, MAX_FEATURES = 4, 4.0, 4096
+MIN_DOCUMENTS, MIN_Z, MAX_FEATURES = 6, 6.5, 4096
 #: Log-odds of a sentence without any known word; a leak that the model learns stands for the
 #: label rate of documents in which nothing is seen.
 SILENT = -13.0
@@ -28,11 +30,13 @@ _SIGMOID = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def _sentences(texts: list[str | None]) -> Iterator[tuple]:
-    """(first row, end row, text bytes, feature and sentence of each word, row, start and end of
-    each sentence); a sentence ends after . ! ? or at a line's end."""
+    """(first row, end row, text bytes, feature and sentence of each word or prefix, row, start and
+    end of each sentence); a sentence ends after . ! ? or at a line's end."""
     for lo, hi, joined, at in textkernel.chunks(texts):
         buf = np.frombuffer(joined.translate(textkernel._LOWER), np.uint8)
-        h, starts, _ = textkernel.word_hashes(buf, textkernel._NO_LETTER)
+        h, starts, _, more = textkernel.word_hashes(buf, textkernel._NO_LETTER, PREFIXES)
+        starts = np.concatenate([starts, *(starts[at_] for at_, _ in more)])
+        h = np.concatenate([h, *(x for _, x in more)])
         stops = np.flatnonzero(_ENDS[buf]) + 1
         begins = np.concatenate([[0], stops[:-1]])
         feature = (h >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
@@ -47,7 +51,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, bags = [], []
         for lo, hi, _, feature, sentence, row, *_ in _sentences(batch.column(1).to_pylist()):
             pair = np.unique((sentence.astype(np.int64) << FEATURE_BITS) | feature)
-            own = row[pair >> FEATURE_BITS] if len(pair) else np.empty(0, np.int64)
+            own = row[pair >> FEATURE_BITS]
             cut = np.searchsorted(own, np.arange(hi - lo + 1))
             first = np.searchsorted(row, np.arange(hi - lo))
             for r in range(hi - lo):
