@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, ngramlm, toxicity
+from . import exact_dedup, jaccard, langid, mixing, ngramlm, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +35,6 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op4_language_id, op6_mix_sources, op8_toxicity, op9_class_lm)
+    f.__name__: f for f in (op2_exact_dedup, op4_language_id, op6_mix_sources, op7_jaccard_join, op8_toxicity, op9_class_lm)
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_mix_sources": mixing.SQL, "op7_jaccard_join": jaccard.SQL}
