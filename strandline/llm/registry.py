@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, langid, mixing, ngramlm, toxicity
+from . import covertree, exact_dedup, jaccard, langid, mixing, ngramlm, pieces, toxicity
 from .common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,11 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramlm.score(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op4_language_id, op6_mix_sources, op7_jaccard_join, op8_toxicity, op9_class_lm)
+    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op4_language_id, op6_mix_sources, op7_jaccard_join, op8_toxicity, op9_class_lm, op10_embedding_pairs)
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_mix_sources": mixing.SQL, "op7_jaccard_join": jaccard.SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_mix_sources": mixing.SQL, "op7_jaccard_join": jaccard.SQL, "op10_embedding_pairs": covertree.SQL}
