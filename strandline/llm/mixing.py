@@ -15,31 +15,16 @@ HASH_BITS, STEP_BITS = 60, 12
 BOUNDARY_ROWS = 4096
 
 
-def mix(
+def _mixed(
     docs: DataFrame,
-    weights: Sequence[int] = (3, 1, 2),
-    share: float = 1.5,
-    cap: int = 2,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
+    weights: Sequence[int],
+    share: float,
+    cap: int,
+    id_col: str,
+    text_col: str,
+    source_col: str,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row.
-
-    size counts the words of the text (null: 0). Sources in code point order, null last, get
-    ``weights`` in turn, which divide ``share`` times all words; no target exceeds ``cap`` times
-    its source, and what is above is shared again by weight: target = least(cap * size, weight *
-    level), where the level is the greatest that any set of capped sources leaves.
-
-    A source's whole passes take every document so many times. The rest of the target is taken
-    by a threshold on the hash of the id: words are summed per source and hash bucket, the bucket
-    that the budget ends in is split by the next bits until few rows are left in it, and the
-    threshold whose sum is nearest to the budget wins. Documents at or below it are taken once
-    more; nothing is sorted but the rows of boundary buckets. ids with equal hashes (repeated
-    rows, null ids) go in or out together. Documents without words take nothing.
-
-    An empty table gives no rows; other columns are not looked at.
-    """
+    """``mix``, with the source as (none, src)."""
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
     rows = cut(
         docs.select(
@@ -97,6 +82,7 @@ def mix(
         rows.join(plan.join(limit, by, "left").drop("need"), by)
         .select(
             "doc_id",
+            *by,
             "size",
             "source_size",
             "target",
@@ -105,6 +91,55 @@ def mix(
     )
 
 
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = (3, 1, 2),
+    share: float = 1.5,
+    cap: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row.
+
+    size counts the words of the text (null: 0). Sources in code point order, null last, get
+    ``weights`` in turn, which divide ``share`` times all words; no target exceeds ``cap`` times
+    its source, and what is above is shared again by weight: target = least(cap * size, weight *
+    level), where the level is the greatest that any set of capped sources leaves.
+
+    A source's whole passes take every document so many times. The rest of the target is taken
+    by a threshold on the hash of the id: words are summed per source and hash bucket, the bucket
+    that the budget ends in is split by the next bits until few rows are left in it, and the
+    threshold whose sum is nearest to the budget wins. Documents at or below it are taken once
+    more; nothing is sorted but the rows of boundary buckets. ids with equal hashes (repeated
+    rows, null ids) go in or out together. Documents without words take nothing.
+
+    An empty table gives no rows; other columns are not looked at.
+    """
+    return _mixed(docs, weights, share, cap, id_col, text_col, source_col).drop("none", "src")
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[int] = (3, 1, 2),
+    share: float = 1.5,
+    cap: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (0 to ``cap`` times), all columns."""
+    taken = _mixed(docs, weights, share, cap, id_col, text_col, source_col).where("taken > 0")
+    copies = taken.select(
+        F.col("doc_id").alias("_m_id"), F.col("none").alias("_m_none"), F.col("src").alias("_m_src"), (F.col("taken") / F.col("size")).cast("int").alias("_m_copies")
+    ).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_m_id")) & (F.col(source_col).isNull() == F.col("_m_none"))
+    hit = docs.join(copies, same & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("_m_src")))
+    # Rows that repeat id and source share a hash; those of them without words were not taken.
+    worded = F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
+    return hit.where(worded).withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, exact_dedup, jaccard, langid, mixing, ngramlm, pieces, toxicity
+from . import chat, covertree, exact_dedup, jaccard, langid, mixing, ngramlm, pieces, secrets, toxicity
 from .common import table
 
 
@@ -18,10 +18,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.neighbours(table(spark, sf_dir, "conversations"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,6 @@ def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op4_language_id, op6_mix_sources, op7_jaccard_join, op8_toxicity, op9_class_lm, op10_embedding_pairs)
+    f.__name__: f for f in (op1_sentencepiece, op2_exact_dedup, op3_secret_scan, op4_language_id, op5_preference_format, op6_mix_sources, op7_jaccard_join, op8_toxicity, op9_class_lm, op10_embedding_pairs)
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_mix_sources": mixing.SQL, "op7_jaccard_join": jaccard.SQL, "op10_embedding_pairs": covertree.SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op5_preference_format": chat.SQL, "op6_mix_sources": mixing.SQL, "op7_jaccard_join": jaccard.SQL, "op10_embedding_pairs": covertree.SQL}
