@@ -174,17 +174,14 @@ def reach(arcs: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
 
 def shortest(arcs: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
     """start, v, cost: least sum of ``cost`` over paths of at most so many arcs."""
-    best = starts.select(F.col("v").alias("start"), "v", F.lit(0).cast("long").alias("cost"))
+    best = starts.select(F.col("v").alias("start"), "v", F.lit(0).cast("long").alias("cost"), F.lit(0).alias("round"))
     step = arcs.groupBy("v", "w").agg(F.min("cost").alias("_c"))
-    front = best
-    for _ in range(rounds):
-        new = front.join(step, "v").groupBy("start", F.col("w").alias("v")).agg(F.min(F.col("cost") + F.col("_c")).alias("cost"))
-        both = new.join(best.withColumnRenamed("cost", "_old"), ["start", "v"], "left")
-        front = both.where("_old IS NULL OR cost < _old").select("start", "v", "cost").persist()
-        best = best.join(front.withColumnRenamed("cost", "_new"), ["start", "v"], "left").select("start", "v", F.least("cost", F.coalesce("_new", "cost")).alias("cost")).unionByName(
-            front.join(best.select("start", "v"), ["start", "v"], "left_anti")
-        ).persist()
-    return best
+    for n in range(1, rounds + 1):
+        front = best.where(F.col("round") == n - 1)  # what the last round made cheaper
+        new = front.join(step, "v").select("start", F.col("w").alias("v"), (F.col("cost") + F.col("_c")).alias("cost"), F.lit(n).alias("round"))
+        least = F.min(F.struct("cost", "round")).alias("x")
+        best = best.unionByName(new).groupBy("start", "v").agg(least).select("start", "v", "x.cost", "x.round").persist()
+    return best.drop("round")
 
 
 def simple_paths(arcs: DataFrame, starts: DataFrame, steps: int) -> DataFrame:

@@ -186,8 +186,8 @@ def overlap_length(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RUNS = f"""WITH {fx.PLACEMENTS_SQL.strip()},
-e AS (SELECT part, at, sum(d) AS d FROM (SELECT part, beg AS at, 1 AS d FROM placed UNION ALL SELECT part, "end", -1 FROM placed) GROUP BY ALL HAVING sum(d) <> 0),
-r AS (SELECT part, at AS beg, lead(at) OVER (PARTITION BY part ORDER BY at) AS "end", sum(d) OVER (PARTITION BY part ORDER BY at ROWS UNBOUNDED PRECEDING)::BIGINT AS depth FROM e),
+e AS (SELECT part, pt, sum(d) AS d FROM (SELECT part, beg AS pt, 1 AS d FROM placed UNION ALL SELECT part, "end", -1 FROM placed) GROUP BY part, pt HAVING sum(d) <> 0),
+r AS (SELECT part, pt AS beg, lead(pt) OVER (PARTITION BY part ORDER BY pt) AS "end", sum(d) OVER (PARTITION BY part ORDER BY pt ROWS UNBOUNDED PRECEDING)::BIGINT AS depth FROM e),
 runs AS (SELECT * FROM r WHERE depth > 0)"""
 
 
