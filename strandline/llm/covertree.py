@@ -19,6 +19,8 @@ UPPER_NODES = 64
 LEAF, DENSE_PAIRS = 24, 1 << 20
 #: Distances are taken as uncertain by this much when whole nodes are ruled out or in.
 SLACK = 1e-9
+#: A cosine in single precision may be off by this much; it only rules pairs out.
+ROUGH = 1e-5
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -37,6 +39,7 @@ class Tree:
 
     def __init__(self, x: np.ndarray):
         self.x, n = x, len(x)
+        self.rough = x.astype(np.float32)
         self.order = np.arange(n)
         self.centre, self.radius, self.lo, self.hi, self.children = [], [], [], [], []
         todo = [(self._node(0, n, 0, x), 2.0)]
@@ -52,7 +55,7 @@ class Tree:
             half = reach / 2
             while half > self.radius[node]:
                 half /= 2
-            owner, centres = _net(x, rows, self.centre[node], half)
+            owner, centres = _net(self.rough, rows, self.centre[node], half)
             by = np.argsort(owner, kind="stable")
             self.order[lo:hi] = rows[by]
             edge = lo + np.searchsorted(owner[by], np.arange(len(centres) + 1))
@@ -63,9 +66,8 @@ class Tree:
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
 
     def _node(self, lo: int, hi: int, centre: int, x: np.ndarray) -> int:
-        own = self.order[lo:hi]
         self.centre.append(int(centre))
-        self.radius.append(float(np.sqrt(max(0.0, ((x[own] - x[centre]) ** 2).sum(1).max()))) if hi - lo > 1 else 0.0)
+        self.radius.append(float(np.sqrt(((x[self.order[lo:hi]] - x[centre]) ** 2).sum(1).max())) if hi - lo > 1 else 0.0)
         self.lo.append(lo)
         self.hi.append(hi)
         self.children.append([])
@@ -77,25 +79,32 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _net(x: np.ndarray, rows: np.ndarray, first: int, reach: float) -> tuple[np.ndarray, list[int]]:
-    """(which centre covers each row, centres): every row lies within ``reach`` of its centre."""
-    centres, owner = [int(first)], np.full(len(rows), -1)
+    """(which centre covers each row, centres): every row lies within about ``reach`` of its centre.
+
+    Single precision will do: covering radii are measured afterwards.
+    """
+    centres, owner, inside = [int(first)], np.full(len(rows), -1), 1 - reach * reach / 2
     for lo in range(0, len(rows), 512):
-        own = rows[lo : lo + 512]
-        d = _distance(x[own], x[np.array(centres)])
-        best = d.argmin(1)
-        near = d[np.arange(len(own)), best] <= reach
+        own = x[rows[lo : lo + 512]]
+        g = own @ x[np.array(centres)].T
+        best = g.argmax(1)
+        near = g[np.arange(len(own)), best] >= inside
         owner[lo : lo + 512] = np.where(near, best, -1)
         left = np.flatnonzero(~near)
         if len(left):
-            d = _distance(x[own[left]], x[own[left]])
+            g = own[left] @ own[left].T >= inside
+            alone = g.sum(1) <= 1
             free = np.ones(len(left), bool)
             for i in range(len(left)):
                 if free[i]:
-                    take = free & (d[i] <= reach)
-                    take[i] = True
-                    owner[lo + left[take]] = len(centres)
-                    centres.append(int(own[left[i]]))
-                    free &= ~take
+                    if alone[i]:
+                        owner[lo + left[i]] = len(centres)
+                    else:
+                        take = free & g[i]
+                        take[i] = True
+                        owner[lo + left[take]] = len(centres)
+                        free &= ~take
+                    centres.append(int(rows[lo + left[i]]))
     used = np.unique(owner)
     return np.searchsorted(used, owner), [centres[u] for u in used]
 
@@ -129,6 +138,14 @@ class Links:
         for j in b:
             self.join(int(j), int(a[0]))
 
+    def pairs(self, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Compare the pairs a[i], b[i] by their cosines; a vector with itself doesn't count."""
+        hit = (np.einsum("ij,ij->i", x[a], x[b]) >= self.cosine) & (a != b)
+        np.add.at(self.count, a[hit], 1)
+        np.add.at(self.count, b[hit], 1)
+        for i, j in zip(a[hit].tolist(), b[hit].tolist(), strict=True):
+            self.join(i, j)
+
     def compare(self, x: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> None:
         """Compare all pairs by their cosines."""
         hit = x[a] @ x[b].T >= self.cosine
@@ -161,61 +178,86 @@ class Links:
                     self.join(int(a[i]), int(a[k]))
 
 
+def _opened(t: Tree, nodes: np.ndarray) -> np.ndarray:
+    """The children of all nodes; a node without children stands for itself."""
+    return np.concatenate([np.array(t.children[n] or [n]) for n in nodes.tolist()])
+
+
 def traverse(s: Tree, t: Tree, base: int, links: Links, same: bool) -> None:
     """Find all links between two trees (of one tree with itself: ``same``).
 
-    ``base``: where t's vectors start in the counts of ``links``. Node pairs farther apart than
-    the threshold and both covering radii hold no link; pairs nearer than the threshold less the
-    radii hold nothing but links. Others are opened, the larger node first, or compared directly
-    where they are small; single vectors opened against single vectors are compared in one go.
+    ``base``: where t's vectors start in the counts of ``links``. Sets of nodes are taken against
+    each other. Node pairs farther apart than the threshold and both covering radii hold no link;
+    pairs nearer than the threshold less the radii hold nothing but links. Where the radii rule
+    out little, a whole set is opened; otherwise each pair that is left is opened, the larger node
+    first, or compared directly where it is small.
     """
     reach = float(np.sqrt(2 - 2 * links.cosine))
-    stack = [(np.array([0]), np.array([0]))]
-    both = np.concatenate([s.x, t.x]) if not same else s.x
+    both = s.x if same else np.concatenate([s.x, t.x])
+    root = np.array([0])
+    stack = [(root, root, same)]  # the last item: both sides are one set
     while stack:
-        p, q = stack.pop()
-        if len(p) * len(q) > DENSE_PAIRS and max(len(p), len(q)) > 1:
-            cut_p, cut_q = (np.array_split(p, 2), [q]) if len(p) >= len(q) else ([p], np.array_split(q, 2))
-            stack += [(u, w) for u in cut_p for w in cut_q]
+        p, q, one_set = stack.pop()
+        if len(p) * len(q) > DENSE_PAIRS:
+            if one_set:
+                u, w = np.array_split(p, 2)
+                stack += [(u, u, True), (w, w, True), (u, w, False)]
+            elif len(p) >= len(q):
+                stack += [(u, q, False) for u in np.array_split(p, 2)]
+            else:
+                stack += [(p, w, False) for w in np.array_split(q, 2)]
+            continue
+        lone_p, lone_q = s.hi[p] - s.lo[p] == 1, t.hi[q] - t.lo[q] == 1
+        if lone_p.any() != lone_p.all() or lone_q.any() != lone_q.all():
+            if one_set:
+                stack += [(p[lone_p], p[lone_p], True), (p[~lone_p], p[~lone_p], True), (p[lone_p], p[~lone_p], False)]
+            else:
+                stack += [(u, w, False) for u in (p[lone_p], p[~lone_p]) for w in (q[lone_q], q[~lone_q]) if len(u) and len(w)]
             continue
-        d = _distance(s.x[s.centre[p]], t.x[t.centre[q]])
-        wide = s.radius[p][:, None] + t.radius[q][None]
-        i, j = np.nonzero(d <= reach + wide + SLACK)
+        wide = min(2.0, reach + float(s.radius[p].max()) + float(t.radius[q].max()))
+        i, j = np.nonzero(s.rough[s.centre[p]] @ t.rough[t.centre[q]].T >= np.float32(1 - wide * wide / 2 - ROUGH))
+        if one_set:
+            i, j = i[i <= j], j[i <= j]
         if not len(i):
             continue
-        u, w, d, wide = p[i], q[j], d[i, j], wide[i, j]
-        if same:
-            ok = u <= w  # children of one node are numbered in order, so each pair comes up this way
-            u, w, d, wide = u[ok], w[ok], d[ok], wide[ok]
-        for a, b, far, r in zip(u.tolist(), w.tolist(), d.tolist(), wide.tolist(), strict=True):
-            one, two = s.order[s.lo[a] : s.hi[a]], t.order[t.lo[b] : t.hi[b]]
-            itself = same and a == b
-            if itself and len(one) == 1:
-                continue
-            if far + r <= reach - SLACK and not itself:
-                links.all_of(one, two + base, False)
-            elif itself and 2 * s.radius[a] <= reach - SLACK:
-                links.all_of(one, one, True)
-            elif (len(one) * len(two) <= DENSE_PAIRS and (len(one) + len(two) <= 4 * LEAF or r >= reach / 4)) or not (s.children[a] or t.children[b]):
-                if len(one) * len(two) > DENSE_PAIRS:  # a great many equal vectors
-                    for part in np.array_split(one, -(-len(one) * len(two) // DENSE_PAIRS)):
-                        links.compare(both, part, two + base, False)
-                    if itself:
-                        raise AssertionError("equal vectors are linked as a whole")
-                else:
-                    links.compare(both, one, two + base, itself)
+        if lone_p.all() and lone_q.all():
+            a, b = s.centre[p], t.centre[q] + base
+            if len(i) > 4 * (len(a) + len(b)):
+                links.compare(both, a, b, one_set)
+            else:
+                links.pairs(both, a[i], b[j])
+            continue
+        if len(i) > 64 + len(p) * len(q) // 10 and wide > reach:
+            # The set with the greater radii is opened as a whole.
+            if one_set:
+                more = _opened(s, p)
+                stack.append((more, more, True))
+            elif s.radius[p].max() >= t.radius[q].max():
+                stack.append((_opened(s, p), q, False))
+            else:
+                stack.append((p, _opened(t, q), False))
+            continue
+        u, w = p[i], q[j]
+        d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", s.x[s.centre[u]], t.x[t.centre[w]]), 0))
+        r = s.radius[u] + t.radius[w]
+        ok = d <= reach + r + SLACK
+        for m, n, far, ends in zip(u[ok].tolist(), w[ok].tolist(), d[ok].tolist(), r[ok].tolist(), strict=True):
+            x, y = s.order[s.lo[m] : s.hi[m]], t.order[t.lo[n] : t.hi[n]]
+            itself = one_set and m == n
+            if far + ends <= reach - SLACK:
+                links.all_of(x, x if itself else y + base, itself)
+            elif len(x) * len(y) <= DENSE_PAIRS and (len(x) + len(y) <= 4 * LEAF or ends >= reach / 4):
+                links.compare(both, x, y + base, itself)
+            elif not (s.children[m] or t.children[n]):  # two great sets of equal vectors, on the verge
+                for part in np.array_split(x, -(-len(x) * len(y) // DENSE_PAIRS)):
+                    links.compare(both, part, y + base, False)
             elif itself:
-                kids = np.array(s.children[a])
-                stack.append((kids, kids))
-            elif s.children[a] and (s.hi[a] - s.lo[a] >= t.hi[b] - t.lo[b] or not t.children[b]):
-                stack.append((np.array(s.children[a]), np.array([b])) if not same else _ordered(np.array(s.children[a]), np.array([b])))
+                kids = _opened(s, np.array([m]))
+                stack.append((kids, kids, True))
+            elif s.children[m] and (len(x) >= len(y) or not t.children[n]):
+                stack.append((np.array(s.children[m]), np.array([n]), False))
             else:
-                stack.append((np.array([a]), np.array(t.children[b])) if not same else _ordered(np.array([a]), np.array(t.children[b])))
-
-
-def _ordered(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Within one tree, the side whose nodes have the smaller numbers goes first."""
-    return (p, q) if p[0] < q[0] else (q, p)
+                stack.append((np.array([m]), np.array(t.children[n]), False))
 
 
 def _join(cosine: float) -> object:
