@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def _flip(c: str) -> F.Column:
     return F.col(c).bitwiseXOR(F.lit(1).cast("long"))
@@ -133,21 +135,15 @@ def unitigs(arcs: DataFrame) -> DataFrame:
     predecessor looks to, so a chain of n takes log2(n) rounds. A vertex on a cycle never meets a
     head and drops out. A chain and its complement are one: the one with the lesser head stays.
     """
-    link = internal_links(arcs).checkpoint() if _can_checkpoint(arcs) else internal_links(arcs).persist()
-    at = link.select(F.col("w").alias("x"), F.col("v").alias("p"), F.lit(1).cast("long").alias("d"), F.lit(False).alias("done"))
-    heads = link.join(link.select(F.col("w").alias("v")), "v", "left_anti").select("v").distinct()
-    at = at.join(heads.select(F.col("v").alias("p"), F.lit(True).alias("_h")), "p", "left").select("x", "p", "d", F.coalesce("_h", F.lit(False)).alias("done")).persist()
-    for _ in range(40):
-        open_ = at.where("NOT done").count()
-        if not open_:
-            break
+    link = cut(internal_links(arcs))
+    at = link.select(F.col("w").alias("x"), F.col("v").alias("p"), F.lit(1).cast("long").alias("d"))
+    heads = cut(link.join(link.select(F.col("w").alias("v")), "v", "left_anti").select("v").distinct())
+    at = cut(at.join(heads.select(F.col("v").alias("p"), F.lit(True).alias("_h")), "p", "left").select("x", "p", "d", F.coalesce("_h", F.lit(False)).alias("done")))
+    most, reach = at.count(), 1
+    while reach <= most and at.where("NOT done").limit(1).count():
         up = at.select(F.col("x").alias("p"), F.col("p").alias("p2"), F.col("d").alias("d2"), F.col("done").alias("done2"))
-        new = at.where("NOT done").join(up, "p").select("x", F.col("p2").alias("p"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done")).unionByName(at.where("done"))
-        new = (new.checkpoint() if _can_checkpoint(arcs) else new.persist())
-        if new.where("NOT done").count() == open_ and _ >= 1 and not new.where("done").join(at.where("NOT done").select("x"), "x", "left_semi").limit(1).count() and 2 ** (_ + 1) > at.count():
-            at = new.where("done")
-            break
-        at = new
+        on = at.where("NOT done").join(up, "p").select("x", F.col("p2").alias("p"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"))
+        at, reach = cut(on.unionByName(at.where("done"))), reach * 2
     at = at.where("done")
     rows = at.select(F.col("p").alias("head"), F.col("d").alias("pos"), F.col("x").alias("v")).unionByName(heads.select(F.col("v").alias("head"), F.lit(0).cast("long").alias("pos"), "v"))
     ends = rows.groupBy("head").agg(F.max_by("v", "pos").alias("last"))
@@ -155,42 +151,38 @@ def unitigs(arcs: DataFrame) -> DataFrame:
     return rows.join(keep, "head", "left_semi")
 
 
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def reach(arcs: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """start, v, hops: vertices within so many arcs of each start (column v), fewest hops; a
     frontier joins the arcs once a hop, and what has been seen is left out."""
     seen = starts.select(F.col("v").alias("start"), "v", F.lit(0).alias("hops"))
     front = seen
-    step = arcs.select("v", "w").distinct()
+    step = cut(arcs.select("v", "w").distinct())
     for n in range(1, hops + 1):
-        nxt = front.join(step, "v").select("start", F.col("w").alias("v")).distinct().join(seen.select("start", "v"), ["start", "v"], "left_anti").withColumn("hops", F.lit(n)).persist()
-        seen = seen.unionByName(nxt)
-        front = nxt
+        nxt = front.join(step, "v").select("start", F.col("w").alias("v")).distinct().join(seen.select("start", "v"), ["start", "v"], "left_anti").withColumn("hops", F.lit(n))
+        front = cut(nxt)
+        seen = seen.unionByName(front)
     return seen
 
 
 def shortest(arcs: DataFrame, starts: DataFrame, rounds: int) -> DataFrame:
     """start, v, cost: least sum of ``cost`` over paths of at most so many arcs."""
     best = starts.select(F.col("v").alias("start"), "v", F.lit(0).cast("long").alias("cost"), F.lit(0).alias("round"))
-    step = arcs.groupBy("v", "w").agg(F.min("cost").alias("_c"))
+    step = cut(arcs.groupBy("v", "w").agg(F.min("cost").alias("_c")))
     for n in range(1, rounds + 1):
         front = best.where(F.col("round") == n - 1)  # what the last round made cheaper
         new = front.join(step, "v").select("start", F.col("w").alias("v"), (F.col("cost") + F.col("_c")).alias("cost"), F.lit(n).alias("round"))
         least = F.min(F.struct("cost", "round")).alias("x")
-        best = best.unionByName(new).groupBy("start", "v").agg(least).select("start", "v", "x.cost", "x.round").persist()
+        best = cut(best.unionByName(new).groupBy("start", "v").agg(least).select("start", "v", "x.cost", "x.round"))
     return best.drop("round")
 
 
 def simple_paths(arcs: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
     """path: walks from each start (column v) of 1 to ``steps`` arcs that meet no segment twice."""
-    step = arcs.select("v", "w").distinct()
+    step = cut(arcs.select("v", "w").distinct())
     walk = starts.select("v", F.array("v").alias("path"))
     found = []
     for _ in range(steps):
-        walk = walk.join(step, "v").where(~F.exists("path", lambda x: F.shiftright(x, 1) == segment("w"))).select(F.col("w").alias("v"), F.concat("path", F.array("w")).alias("path")).persist()
+        walk = cut(walk.join(step, "v").where(~F.exists("path", lambda x: F.shiftright(x, 1) == segment("w"))).select(F.col("w").alias("v"), F.concat("path", F.array("w")).alias("path")))
         found.append(walk.select("path"))
     out = found[0]
     for more in found[1:]:
