@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, cut, release
 
 #: Rows that one salt is meant for, if a single text filled the whole table.
 ROWS_PER_SALT = 1_000_000
@@ -63,10 +63,13 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Survivors are found by id and digest. Ids are expected to be present and one row each; of rows
     that repeat both id and text, one stays.
     """
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_h"))
-    marked = docs.withColumn("_own_h", F.sha2(normalised(F.col(text_col)), 256))
-    hit = marked.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_own_h") == F.col("_keep_h")), "left_semi")
-    return hit.dropDuplicates([id_col, "_own_h"]).drop("_own_h")
+    key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), h)
+    found = exact_dedup(docs, id_col, text_col).where("kept")
+    keep = cut(found.select(key(F.col("doc_id"), F.col("text_sha256")).alias("_own_k")))
+    release(docs.sparkSession)  # the texts that were shuffled to find them
+    marked = docs.withColumn("_own_k", key(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)))
+    # One key for both, so that rows are dealt out once.
+    return marked.join(keep, "_own_k", "left_semi").dropDuplicates(["_own_k"]).drop("_own_k")
 
 
 SQL = """
