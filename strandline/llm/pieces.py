@@ -14,7 +14,7 @@ from .textkernel import mix64
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: No piece spans a multiple of so many code points within a word, which bounds the lattice.
 SPAN = 64
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_000_000
 #: log weight of a byte that stands for part of a character without a piece.
 BYTE_LOG = -16.0
 _SPACE = 0x2581
