@@ -131,7 +131,7 @@ def _sets(k: int) -> object:
                     rows.append(i)
                     sets.append(u.tobytes())
             kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), *(kept.column(c) for c in range(2, 4)), pa.array(sets, pa.binary())], names=["cls", "cluster", "blocks", "set"])
+            yield pa.RecordBatch.from_arrays([kept.column(0), *(kept.column(c) for c in range(2, 4)), pa.array(sets, pa.binary())], names=["cls", "cluster", "groups", "set"])
 
     return run
 
@@ -165,20 +165,21 @@ def _parity(sets: list[np.ndarray], words: int) -> np.ndarray:
     return out
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, both: bool, percent: int) -> list[tuple[int, int]]:
+def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, both: bool, percent: int, only: int = -1) -> list[tuple[int, int]]:
     """Edges that connect all sets that are linked: a spanning forest of the links.
 
     Pairs are looked at by size band; of those whose sizes and sketches allow it, and which no
     earlier edge connects, the sets are compared. ``both``: pairs within a side count too.
+    ``only``: a band, to take pairs whose smaller set lies in it alone.
     """
     forest, found = _Forest(), []
     size = np.array([len(u) for u in sets], dtype=np.int64)
     order = np.argsort(size, kind="stable")
     band = np.searchsorted(bands(percent), size, side="right") - 1
-    for b in np.unique(band):
+    for b in np.unique(band) if only < 0 else [only]:
         rows = order[(band[order] == b) | (band[order] == b + 1)]
         own = int((band[rows] == b).sum())
-        if len(rows) < 2:
+        if len(rows) < 2 or not own:
             continue
         sketch = _parity([sets[r] for r in rows], max(1, -(-int(size[rows[own - 1]]) // 64)))
         n, s, name = size[rows], side[rows], ids[rows]
@@ -205,11 +206,11 @@ def _verify(percent: int) -> object:
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(b, np.uint64) for b in table["set"].to_pylist()]
         ids, cluster = table["cls"].to_numpy(), table["cluster"].to_numpy()
-        side, i, j = table["block"].to_numpy(), table["i"].to_numpy(), table["j"].to_numpy()
+        side, i, j, band = (table[c].to_numpy() for c in ("block", "i", "j", "band"))
         a, b = [], []
         order = np.argsort(cluster, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            for x, y in links(ids[rows], [sets[r] for r in rows], side[rows], bool(i[rows[0]] == j[rows[0]]), percent):
+            for x, y in links(ids[rows], [sets[r] for r in rows], side[rows], bool(i[rows[0]] == j[rows[0]]), percent, int(band[rows[0]])):
                 a.append(x)
                 b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -232,8 +233,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
        Empty parts don't count; a set is only at risk if more of them are empty than three
        standard deviations allow *and* each of its other parts is hit by one of the d
        differences, which has odds far below 1e-9.
-    3. Components of these chains are candidate clusters. Each is dealt to tasks by blocks of
-       bounded size, one task for two blocks, and small ones share a task. Within a task parity
+    3. Components of these chains are candidate clusters. Small ones share a task; a large one is
+       parted by size band and dealt by blocks of bounded size, one task for two blocks. Within a task parity
        sketches, whose Hamming distance is at most the symmetric difference, rule out most
        pairs; the rest are verified on the full sets, unless they are connected already.
     4. Components of the links.
@@ -253,20 +254,30 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     release(spark)
     clusters = components(chained).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
     members = cut(clusters.join(classes, "cls"))
+    edges = [int(e) for e in bands(percent) if e < 1 << 31]
+    band = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("n"))) - 1
     total = members.groupBy("cluster").agg(F.sum("n").alias("words"))
     all_words = total.agg(F.sum("words")).first()[0] or 0
-    blocks = total.select("cluster", F.ceil(F.col("words") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = members.join(blocks, "cluster").select("least", F.col("cls").alias("m_cls"), "cluster", "blocks")
-    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("least"))).select("m_cls", "text", "cluster", "blocks")
-    sets = texts.mapInArrow(_sets(k), "cls long, cluster long, blocks int, set binary")
+    # A large cluster is parted by size: a set meets those of its own band and of the next one.
+    parts = members.join(total, "cluster").select(
+        "least", F.col("cls").alias("m_cls"), "cluster", "n",
+        F.explode(F.when(F.col("words") > BLOCK_SHINGLES, F.array(band, band - 1)).otherwise(F.array(F.lit(-1)))).alias("band"), (F.col("words") > BLOCK_SHINGLES).alias("large"),
+    ).where("band >= 0 OR NOT large")
+    parts = cut(parts)
+    blocks = parts.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    members = parts.join(blocks, ["cluster", "band"]).groupBy("m_cls", "least", "cluster").agg(F.collect_list(F.struct("band", "blocks")).alias("groups"))
+    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("least"))).select("m_cls", "text", "cluster", "groups")
+    sets = texts.mapInArrow(_sets(k), "cls long, cluster long, groups array<struct<band:int,blocks:int>>, set binary")
     bins = max(spark.sparkContext.defaultParallelism, int(all_words // BLOCK_SHINGLES) + 1)
     dealt = (
-        sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        sets.withColumn("g", F.explode("groups"))
+        .select("cls", "cluster", "set", "g.band", "g.blocks")
+        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
-        .withColumn("task", F.when(F.col("blocks") > 1, F.xxhash64("cluster", "i", "j")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))))
-        .select("task", "cls", "cluster", "block", "i", "j", "set")
+        .withColumn("task", F.when(F.col("band") >= 0, F.xxhash64("cluster", "band", "i", "j")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))))
+        .select("task", "cls", "cluster", "band", "block", "i", "j", "set")
     )
     linked = cut(dealt.groupBy("task").applyInArrow(_verify(percent), "a long, b long"))
     release(spark)
