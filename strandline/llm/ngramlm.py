@@ -131,7 +131,8 @@ def exchange_classes(pairs: np.ndarray, clustered: int, clusters: int = CLUSTERS
             grid[:, a] -= left
             grid[a] -= right
             grid[a, a] -= own
-            rows, cols, diag = grid[:k].sum(1), grid[:, :k].sum(0), np.diag(grid)[:k]
+            # Links with w stay in the sums of the others' classes wherever w goes.
+            rows, cols, diag = grid[:k].sum(1) + left[:k], grid[:, :k].sum(0) + right[:k], np.diag(grid)[:k]
             gain = (f(grid[:, :k] + left[:, None]) - f(grid[:, :k])).sum(0) + (f(grid[:k] + right[None]) - f(grid[:k])).sum(1)
             gain += f(diag + left[:k] + right[:k] + own) - f(diag) - (f(diag + left[:k]) - f(diag)) - (f(diag + right[:k]) - f(diag))
             gain -= f(rows + nr) - f(rows) + f(cols + nl) - f(cols)
@@ -206,6 +207,23 @@ def _score(head, model) -> object:
     return run
 
 
+def _head(counts: DataFrame) -> DataFrame:
+    """The most frequent words, at most ``HEAD_WORDS``: all whose count is in one of the top steps.
+
+    Counts are grouped in steps of three leading digits, of which there are few thousand whatever
+    the corpus, so that the bound is found without sorting words or sending more of them than it.
+    """
+    scale = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.col("c") + 0.5)) - 2, F.lit(0)))
+    step = (F.floor(F.col("c") / scale) * scale).cast("long")
+    room, least = HEAD_WORDS, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    return counts.where(F.lit(False)) if least is None else counts.where(step >= least)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, held: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity by row.
 
@@ -229,7 +247,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     end = int(_END.view(np.int64))
     total = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n_tokens, n_distinct = int(total[0] or 0), int(total[1])
-    top = counts.where(F.col("w") != end).orderBy(F.desc("c"), "w").limit(HEAD_WORDS).toPandas()
+    top = _head(counts.where(F.col("w") != end)).toPandas().sort_values(["c", "w"], ascending=[False, True])
     words, freq = top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     head = sc.broadcast((words, freq))
     symbols = Symbols(words, freq)
