@@ -13,7 +13,8 @@ from .common import components, cut, release
 
 #: Vectors in one block; a task holds two.
 BLOCK = 8192
-#: Nodes of the tree's upper level: centres taken from a sample of the vectors, at most so many.
+#: Nodes of the tree's upper level: centres taken from a sample of about 128 vectors for each, at
+#: most so many.
 UPPER_NODES = 64
 #: Below so many vectors a node isn't split; two nodes with so many pairs are compared directly.
 LEAF, DENSE_PAIRS = 24, 1 << 20
@@ -333,7 +334,9 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     if not n:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     k = int(min(UPPER_NODES, max(1, -(-n // BLOCK))))
-    sample = _unit([r["v"] for r in valid.orderBy(F.xxhash64("v")).limit(64 * k).collect()])
+    part = min(1.0, 128 * k / n)  # a share by hash that holds about 128 a node
+    some = valid.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(part * (1 << 30))).select("v").distinct()
+    sample = _unit(sorted(r["v"] for r in some.collect()) or [valid.first()["v"]])
     centres = sample[_spread(sample, k)]
     placed = cut(valid.mapInArrow(_assign(centres), "row long, v binary, node int, far double"))
     nodes = {r["node"]: (r["far"], r["n"]) for r in placed.groupBy("node").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
