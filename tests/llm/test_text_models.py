@@ -172,10 +172,23 @@ def test_class_lm_beats_words_and_sums_to_one(spark):
     rows = [(i, " ".join(r.choice(a if j % 2 else b) for j in range(60))) for i in range(300)]
     got = ngramlm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b + 0.1 * abs(got.b)
-    pairs = np.zeros((7, 7))
-    pairs[0, 2] = pairs[1, 3] = pairs[2, 0] = pairs[3, 1] = pairs[0, 3] = pairs[3, 0] = 9
-    cls = ngramlm.exchange_classes(pairs, 4, clusters=2)
-    assert cls[0] == cls[1] != cls[2] == cls[3]
+    g = np.random.default_rng(1)
+    pairs = g.integers(0, 50, (22, 22)).astype(float)
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+
+    def likelihood(cls):
+        hot = np.eye(int(cls.max()) + 1)[cls]
+        grid = hot.T @ pairs @ hot
+        return f(grid) - f(grid.sum(0)) - f(grid.sum(1))
+
+    before = np.concatenate([np.arange(20) % 4, [4, 5]])
+    after = ngramlm.exchange_classes(pairs, 20, clusters=4, sweeps=50)
+    assert likelihood(after) > likelihood(before)
+    for w in range(20):  # no single exchange does better
+        for c in range(4):
+            other = after.copy()
+            other[w] = c
+            assert likelihood(other) <= likelihood(after) + 1e-6
 
 
 def test_piece_sampling_is_exact_and_lossless(odd_docs, no_docs, spark):
