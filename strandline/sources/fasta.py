@@ -16,10 +16,9 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """name, seq, qual of four-line records. Records are cut at a line '@' that the line before
-    the last '+' line's quality can't be: the separator is a newline, '@', and a name whose record
-    has its '+' line, so a quality line that begins with '@' doesn't start one."""
-    rows = spark.read.option("wholetext", True).text(path)
+    """name, seq, qual of four-line records. A file is read as one row, so large ones should come
+    in parts; a quality line that begins with '@' starts no record."""
+    rows = spark.read.text(path, wholetext=True)
     found = F.explode(F.regexp_extract_all("value", F.lit(r"(?:^|\n)@([^\n]*)\r?\n([^\n]*)\r?\n\+[^\n]*\r?\n([^\n]*)"), F.lit(0))).alias("r")
     line = F.split(F.regexp_replace("r", "^\n|\r", ""), "\n")
     return rows.select(found).select(F.regexp_extract(line[0], r"^@(\S*)", 1).alias("name"), line[1].alias("seq"), line[3].alias("qual"))
