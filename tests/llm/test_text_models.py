@@ -191,6 +191,22 @@ def test_class_lm_beats_words_and_sums_to_one(spark):
             assert likelihood(other) <= likelihood(after) + 1e-6
 
 
+def test_class_lm_places_every_word(spark, monkeypatch):
+    """Rare words of two alternating kinds, far beyond the clustered ones, get the kinds' classes."""
+    monkeypatch.setattr(ngramlm, "CLUSTERED_WORDS", 20)
+    monkeypatch.setattr(ngramlm, "CLUSTERS", 2)
+    r = random.Random(5)
+    kinds = [[f"{x}{i}" for i in range(10)] for x in "ab"], [[f"rare{x}{i}" for i in range(400)] for x in "ab"]
+    text = lambda: " ".join(r.choice(kinds[j % 10 == 4 or j % 10 == 7][j % 2]) for j in range(60))
+    rows = [(i, text()) for i in range(300)]
+    got = ngramlm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert got.s > got.b + 0.2 * got.n
+    grid = np.array([[0.0, 90, 5], [90, 0, 5], [5, 5, 0]])
+    count, cls = ngramlm.Placement(grid, 2).best(np.array([0, 2]), np.array([0, 3, 1, 4]), np.array([1, 1, 2, 2]))
+    assert count.tolist() == [1, 2] and cls.tolist() == [1, 0]
+    assert ngramlm._sizes(10**8)[1] > ngramlm._sizes(10**4)[1]
+
+
 def test_piece_sampling_is_exact_and_lossless(odd_docs, no_docs, spark):
     v = pieces.Vocabulary(pieces.DEFAULT_MODEL)
     out = pieces.encode(odd_docs).collect()
