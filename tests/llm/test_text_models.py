@@ -207,6 +207,15 @@ def test_class_lm_places_every_word(spark, monkeypatch):
     assert ngramlm._sizes(10**8)[1] > ngramlm._sizes(10**4)[1]
 
 
+def test_class_lm_score_for_any_bound(spark, corpus, monkeypatch):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    seen = []
+    for head in (0, 700, 1 << 18):
+        monkeypatch.setattr(ngramlm, "HEAD_WORDS", head)
+        seen.append(sorted((r.doc_id, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in ngramlm.score(docs).collect()))
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_piece_sampling_is_exact_and_lossless(odd_docs, no_docs, spark):
     v = pieces.Vocabulary(pieces.DEFAULT_MODEL)
     out = pieces.encode(odd_docs).collect()
