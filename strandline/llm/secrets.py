@@ -15,16 +15,24 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: Matches of these are the matches of the patterns above that are long enough: both take whole runs.
 ACCESS_LONG = rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"
 HEX_LONG = rf"[0-9a-f]{{{HEX_LEAST},}}"
-#: What may be an encoded secret: a whole run of these characters, long enough to judge.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Encodings by preference: name, what its tokens look like, its alphabet in order of value.
+#: What may be an encoded secret: a whole run of these characters, long enough to judge; '=' pads
+#: its end, and parts a name from its value elsewhere.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=++(?![A-Za-z0-9+/_-]))?"
+#: Parts of a run that as a whole is in no encoding: without '+' and '/', without '-' and '_', without all four.
+PARTS = (r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9]{20,}=*")
+#: Encodings by preference: name, what its tokens look like, its alphabet in order of value. All mix
+#: digits and letters: of letters alone, twenty or thirty don't tell random ones from words.
 ENCODINGS = (
-    ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef"),
-    ("HEX", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789ABCDEF"),
+    ("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+=*$", "0123456789abcdef"),
+    ("HEX", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+=*$", "0123456789ABCDEF"),
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("lower", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+=*$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("upper", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("base62", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9]+=*$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+ENCODED = "|".join(look for _, look, _ in ENCODINGS)
 #: Tokens of alike length are judged together: length / 8, up to so many bands.
 BAND, BANDS = 8, 16
 #: Share of truly random tokens that may be lost, and steps of -ln(p) that p-values are counted in.
@@ -55,6 +63,21 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
     return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(steps, zero, step, lambda acc: acc["s"])).otherwise(none)
 
 
+def _tokens(run: Column) -> Column:
+    """The tokens of a run: itself if an encoding has it, else those of its parts that one has, the
+    longest first and without overlap, so that separators foreign to a token part it."""
+
+    def parted(m: Column) -> Column:
+        parts = F.filter(F.concat(*[_spans(m, p, 3) for p in PARTS]), lambda y: F.rlike(y["m"], F.lit(ENCODED)))
+        longest = F.array_sort(F.transform(parts, lambda y: F.struct((y["b"] - y["e"]).alias("short"), y["b"].alias("b"), y["k"].alias("k"), y["e"].alias("e"), y["m"].alias("m"))))
+        none = F.array().cast("array<struct<b:bigint,k:int,e:bigint,m:string>>")
+        own = lambda y: F.array(F.struct(y["b"].alias("b"), y["k"].alias("k"), y["e"].alias("e"), y["m"].alias("m")))
+        return F.aggregate(longest, none, lambda acc, y: F.when(F.exists(acc, lambda z: (z["b"] < y["e"]) & (y["b"] < z["e"])), acc).otherwise(F.concat(acc, own(y))))
+
+    moved = F.transform(parted(run["m"]), lambda y: F.struct((run["b"] + y["b"]).alias("b"), y["k"].alias("k"), (run["b"] + y["e"]).alias("e"), y["m"].alias("m")))
+    return F.when(F.rlike(run["m"], F.lit(ENCODED)), F.array(run)).otherwise(moved)
+
+
 def _tail(z: Column) -> Column:
     """P(Z > z) of a standard normal, by the rational approximation with error below 1e-7."""
 
@@ -142,7 +165,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans by row.
 
     Base spans come from the three patterns, over whole texts. The method adds spans of kind
-    'random': runs that look like an encoding and pass for random characters in it. Each run gets
+    'random': runs that look like an encoding and pass for random characters in it (``_tokens``:
+    '=' between a name and its value and separators foreign to the encoding part them). Each run gets
     one p-value for "these characters are random"; per encoding and length band, Benjamini and
     Hochberg's step-up rejects the runs that aren't, at a false-discovery rate of
     ``FALSE_DISCOVERIES``, so the threshold a run must pass depends on how many alike in length
@@ -160,7 +184,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = rows.select(
         "doc_id",
         F.array_sort(F.transform(base, lambda x: F.struct(x["b"], x["k"], x["e"]))).alias("base"),
-        _spans(F.col("t"), RUN, 3).alias("runs"),
+        F.flatten(F.transform(_spans(F.col("t"), RUN, 3), _tokens)).alias("runs"),
     )
     apart = F.filter("runs", lambda x: ~F.exists("base", lambda y: (y["b"] < x["e"]) & (x["b"] < y["e"])))
     judged = F.filter(F.transform(apart, lambda x: F.struct(x["b"], x["k"], x["e"], _battery(x["m"]).alias("t"))), lambda x: x["t"].isNotNull())

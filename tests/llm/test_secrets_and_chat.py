@@ -45,6 +45,28 @@ def test_battery_tells_random_runs_from_names(spark):
     assert sum(f for f, k in zip(found, kinds) if not k) < 15
 
 
+def test_tokens_behind_names_and_foreign_separators(spark):
+    r = random.Random(4)
+    lower, upper, letters = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    forms = [
+        ("AWS_SECRET_ACCESS_KEY=", letters + "0123456789+/", ""), ("client_key=", letters + "0123456789", "&x=1"), ("path/to-the/", letters + "0123456789-_", "/x"), ("a-b_c/d-", letters + "0123456789+/", "== end"),
+        ("é id=", lower + "0123456789", ""), ("my_", lower + "0123456789", ""), ("see ", upper + "0123456789", "."),
+    ]
+    rows, spans = [], []
+    for i in range(420):
+        before, alphabet, behind = forms[i % len(forms)]
+        token = "".join(r.choice(alphabet) for _ in range(40))
+        while not (any(map(str.isdigit, token)) and token[0].isalnum() and token[-1].isalnum() and (len(alphabet) < 64 or set(token) & set(alphabet[-2:]))):
+            token = "".join(r.choice(alphabet) for _ in range(40))
+        pad = len(behind) - len(behind.lstrip("="))
+        rows.append((i, before + token + behind))
+        spans.append(f"random:{len(before)}:{len(before) + 40 + pad}")
+    out = {x.doc_id: x.spans for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for f in range(len(forms)):
+        own = range(f, 420, len(forms))
+        assert sum(spans[i] in out[i].split(",") for i in own) > 0.75 * len(own), (forms[f], [(rows[i], spans[i], out[i]) for i in own][:5])
+
+
 def test_thresholds():
     assert secrets._thresholds([]) == {}
     assert ("hex", 3) not in secrets._thresholds([("hex", 3, 0, 10)])
