@@ -123,10 +123,7 @@ h2 AS (
 SELECT DISTINCT query, ctg, beg, "end", rev FROM (FROM h1 UNION ALL FROM h2)"""
 
 
-@query(_TWO)
-def lift_two_hop(spark: SparkSession, d: str) -> DataFrame:
-    both = lift.both_ways(fx.order_part(spark, d).unionByName(fx.part_supplier(spark, d)))
-    q = fx.table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("query")).distinct()
+def _two_hops(q: DataFrame, both: DataFrame) -> DataFrame:
     q = q.select("query", F.lit(10).cast("long").alias("b"), F.lit(40).cast("long").alias("e"))
     one = lift.direct(q, both, "query", "b", "e").select("query", F.col("hit_ctg").alias("ctg"), F.col("hit_beg").alias("beg"), F.col("hit_end").alias("end"), F.col("hit_rev").alias("rev"))
     two = lift.direct(one, both, "ctg", "beg", "end").where("hit_ctg <> query").select(
@@ -135,6 +132,13 @@ def lift_two_hop(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(two).distinct()
 
 
+@query(_TWO)
+def lift_two_hop(spark: SparkSession, d: str) -> DataFrame:
+    both = lift.both_ways(fx.order_part(spark, d).unionByName(fx.part_supplier(spark, d)))
+    q = fx.table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("query")).distinct()
+    return _two_hops(q, both)
+
+
 @query()
 def lift_multi_hop(spark: SparkSession, d: str) -> DataFrame:
     """Up to two further hops with adjacent hits merged; tests hold it against a queue-based walk."""
@@ -167,8 +171,8 @@ z AS (SELECT *, sum(CASE WHEN before IS NULL OR beg > before THEN 1 ELSE 0 END)
 u AS (SELECT ctg, min(beg) AS beg, max("end") AS "end", count(*) AS n FROM z GROUP BY ctg, i)"""
 
 
-def _union(spark: SparkSession, d: str) -> DataFrame:
-    r = fx.order_part(spark, d).where("b_beg % 4 <> 0").select(F.col("b_ctg").alias("ctg"), F.col("b_beg").alias("beg"), F.col("b_end").alias("end"))
+def _union(spark: SparkSession, d: str, rows: str = "b_beg % 4 <> 0") -> DataFrame:
+    r = fx.order_part(spark, d).where(rows).select(F.col("b_ctg").alias("ctg"), F.col("b_beg").alias("beg"), F.col("b_end").alias("end"))
     return intervals.islands(r, ["ctg"])
 
 
@@ -490,8 +494,12 @@ c AS (SELECT a_ctg, b_ctg, b_beg, b_end, sum(least(b_end, "end") - greatest(b_be
 SELECT a_ctg, count(DISTINCT b_ctg) AS support FROM c WHERE covered >= ceil(0.95 * (b_end - b_beg)) GROUP BY a_ctg""")
 def equiv_support(spark: SparkSession, d: str) -> DataFrame:
     """Contigs by how many others support them: those whose stretch equivalent intervals cover."""
+    return _support(spark, d)
+
+
+def _support(spark: SparkSession, d: str, rows: str = "b_beg % 4 <> 0") -> DataFrame:
     a = fx.order_part(spark, d).select("a_ctg", F.col("b_ctg").alias("ctg"), "b_beg", "b_end")
-    c = intervals.covered_length(a, _union(spark, d), ["ctg"], ("b_beg", "b_end"))
+    c = intervals.covered_length(a, _union(spark, d, rows), ["ctg"], ("b_beg", "b_end"))
     return c.where(F.col("covered") >= F.ceil(0.95 * (F.col("b_end") - F.col("b_beg")))).groupBy("a_ctg").agg(F.countDistinct("ctg").alias("support"))
 
 
@@ -523,7 +531,10 @@ def cut_propagation(spark: SparkSession, d: str) -> DataFrame:
 x AS (SELECT DISTINCT key AS root, key AS part, []::INTEGER[] AS path FROM r UNION ALL SELECT x.root, r.part, list_append(x.path, r.ord) FROM x JOIN r ON r.key = x.part)
 SELECT root, part, array_to_string(path, '.') AS path FROM x WHERE part NOT IN (SELECT key FROM r)""")
 def rule_expand(spark: SparkSession, d: str) -> DataFrame:
-    o = fx.table(spark, d, "orders").where("o_orderkey >= 15 AND o_orderkey % 2 = 1")
+    return _expanded(fx.table(spark, d, "orders").where("o_orderkey >= 15 AND o_orderkey % 2 = 1"))
+
+
+def _expanded(o: DataFrame) -> DataFrame:
     rules = o.select(F.col("o_orderkey").alias("key"), F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.floor(F.col("o_orderkey") / 3).alias("part")), F.struct(F.lit(2).alias("ord"), F.floor(F.col("o_orderkey") / 5).alias("part")))).alias("x")).select("key", "x.ord", "x.part")
     return rewrite.expand(rules, max_rounds=40).select("root", "part", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
 
@@ -532,3 +543,53 @@ def rule_expand(spark: SparkSession, d: str) -> DataFrame:
 def union_distinct(spark: SparkSession, d: str) -> DataFrame:
     op, ps = fx.order_part(spark, d), fx.part_supplier(spark, d)
     return op.select(F.col("a_ctg").alias("ctg")).unionByName(op.select(F.col("b_ctg").alias("ctg"))).unionByName(ps.select(F.col("b_ctg").alias("ctg"))).distinct()
+
+
+# ---- the queries above that see part of the rows, over all rows ------------------------------------------
+
+
+def _whole(name: str, part: str, all_rows: str) -> str:
+    """The SQL of a query without its filter."""
+    assert part in ORACLES[name]
+    return ORACLES[name].replace(part, all_rows)
+
+
+@query(_whole("cut_propagation", " AND a_ctg LIKE '%00'", ""))
+def cut_propagation_whole(spark: SparkSession, d: str) -> DataFrame:
+    op, ps = fx.order_part(spark, d), fx.part_supplier(spark, d)
+    cuts = op.where("a_beg > 0").select(F.col("a_ctg").alias("ctg"), F.col("a_beg").alias("pos")).distinct()
+    return rewrite.propagate(cuts, op.where("NOT rev").unionByName(ps), max_rounds=10)
+
+
+@query(_whole("lift_two_hop", " WHERE o_orderkey % 5 = 0", ""))
+def lift_two_hop_whole(spark: SparkSession, d: str) -> DataFrame:
+    both = lift.both_ways(fx.order_part(spark, d).unionByName(fx.part_supplier(spark, d)))
+    q = fx.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("query")).distinct()
+    return _two_hops(q, both)
+
+
+@query(_whole("interval_union", " WHERE b_beg % 4 <> 0", ""))
+def interval_union_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _union(spark, d, "true")
+
+
+@query(_whole("overlap_length", " WHERE b_beg % 4 <> 0", ""))
+def overlap_length_whole(spark: SparkSession, d: str) -> DataFrame:
+    w = fx.part_windows(fx.order_part(spark, d)).select("ctg", F.col("beg").alias("w_beg"), F.col("end").alias("w_end"))
+    return intervals.covered_length(w, _union(spark, d, "true"), ["ctg"], ("w_beg", "w_end"))
+
+
+@query(_whole("equiv_support", " WHERE b_beg % 4 <> 0", ""))
+def equiv_support_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _support(spark, d, "true")
+
+
+@query(_whole("unused_nodes_anti", " WHERE v % 4 = 0", ""))
+def unused_nodes_anti_whole(spark: SparkSession, d: str) -> DataFrame:
+    segs = fx.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("seg_id")).agg(F.count(F.lit(1)).alias("n"))
+    return graph.unused_segments(segs, fx.sparse_arcs(spark, d))
+
+
+@query(_whole("rule_expand", " AND o_orderkey % 2 = 1", ""))
+def rule_expand_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _expanded(fx.table(spark, d, "orders").where("o_orderkey >= 15"))
