@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from .textkernel import mix64
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: No piece spans a multiple of so many code points within a word, which bounds the lattice.
-SPAN = 64
 CHUNK_CHARS = 1_000_000
 #: log weight of a byte that stands for part of a character without a piece.
 BYTE_LOG = -16.0
 _SPACE = 0x2581
 #: The space mark itself, where a text has it: it has no piece and is written in bytes.
 _MARK = 0x110000
-_W = mix64(np.arange(7001, 7001 + SPAN, dtype=np.uint64)) | np.uint64(1)
+
+
+def _weights(n: int) -> np.ndarray:
+    """Odd weights of the first n places, for hashes of code points."""
+    return mix64(np.arange(7001, 7001 + n, dtype=np.uint64)) | np.uint64(1)
 
 
 class Vocabulary:
@@ -36,7 +38,7 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = sp.vocab_size()
         pieces = [sp.id_to_piece(i) for i in range(size)]
-        plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and len(pieces[i]) <= SPAN]
+        plain = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         score = np.array([sp.get_score(i) for i in range(size)])
         ranked = bool(len(plain) and (score[plain] == np.round(score[plain])).all())
         logs = -np.log(np.maximum(-score, 0) + 2.7) if ranked else score
@@ -53,9 +55,10 @@ class Vocabulary:
         self.offset = np.cumsum(self.length) - self.length
         # For each length, all prefixes of pieces: hash, the piece that it is (or -1), its weight.
         entry: list[dict[int, tuple[int, float]]] = []
+        self.weights = _weights(max((len(pieces[i]) for i in plain), default=0))
         for i in plain:
             code = np.array([ord(c) for c in pieces[i]], np.uint64)
-            h = np.cumsum((code + np.uint64(1)) * _W[: len(code)], dtype=np.uint64)
+            h = np.cumsum((code + np.uint64(1)) * self.weights[: len(code)], dtype=np.uint64)
             while len(entry) < len(code):
                 entry.append({})
             for n in range(len(code)):
@@ -89,7 +92,7 @@ class Lattice:
         first, end, piece, logw = [], [], [], []
         single = np.zeros(len(code), bool)
         for n, (key, ids, logs, maybe) in enumerate(v.tables):
-            h = h + value[at + n] * _W[n]
+            h = h + value[at + n] * v.weights[n]
             ok = maybe[(h >> np.uint64(46)).astype(np.int64)]
             at, h = at[ok], h[ok]
             place = np.minimum(np.searchsorted(key, h), len(key) - 1)
@@ -122,11 +125,12 @@ class Lattice:
         self.root, self.leaf = start + np.arange(words), start + length + np.arange(words)
         src, dst, level = first + owner, end + owner, end - start[owner]
         order = np.argsort(dst, kind="stable")
-        self.src, self.piece, dst, level, logw = src[order], piece[order], dst[order], level[order].astype(np.uint8), logw[order]
-        rise = np.argsort(level, kind="stable")
+        self.src, self.piece, dst, level, logw = src[order], piece[order], dst[order], level[order], logw[order]
+        deepest = int(length.max())
+        rise = np.argsort(level.astype(np.uint16 if deepest < 1 << 16 else np.int64), kind="stable")
         alpha = np.full(len(code) + words, -np.inf)
         alpha[self.root] = 0
-        edge_of = np.concatenate([[0], np.cumsum(np.bincount(level, minlength=SPAN + 1))])
+        edge_of = np.concatenate([[0], np.cumsum(np.bincount(level, minlength=deepest + 1))])
         joint = np.empty(len(dst))
         for lo, hi in zip(edge_of[1:-1], edge_of[2:], strict=True):
             if lo == hi:
@@ -208,11 +212,9 @@ def segment(v: Vocabulary, texts: list[str], keys: np.ndarray) -> tuple[np.ndarr
     begins = space.copy()
     begins[1:] &= ~space[:-1]
     begins[at] = True
-    word_at = np.flatnonzero(begins)
-    begins[(np.arange(len(code)) - word_at[np.cumsum(begins) - 1]) % SPAN == 0] = True
     start = np.flatnonzero(begins)
     length = np.diff(np.append(start, len(code)))
-    value = (code.astype(np.uint64) + np.uint64(1)) * _W[np.arange(len(code)) - np.repeat(start, length)]
+    value = (code.astype(np.uint64) + np.uint64(1)) * _weights(int(length.max()))[np.arange(len(code)) - np.repeat(start, length)]
     h = mix64(np.add.reduceat(value, start) + length.astype(np.uint64))
     _, sample, word = np.unique(h, return_index=True, return_inverse=True)
     own = length[sample]
@@ -266,6 +268,7 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, alpha: float = 1.0,
     Pieces never hold a space but in front, so a text's lattice falls into those of its words. Of
     each distinct word of a chunk the lattice is built and forward-filtered once; every
     occurrence then samples its pieces backwards, each with its exact posterior probability
+    (however long the word is: a lattice's work grows with the length of words and pieces)
     under the unigram weights of ``Vocabulary``. Random numbers are hashes of seed, row key (the
     id), place of the word and step: a text gets the same pieces wherever and whenever it runs.
     ``alpha`` above 1 favours likely segmentations, below 1 evens them out.

@@ -250,6 +250,36 @@ def test_piece_sampling_is_exact_and_lossless(odd_docs, no_docs, spark):
     assert all(abs(seen[p] / n - w / total) < 0.02 for p, w in every.items())
 
 
+def test_piece_sampling_is_exact_in_long_words():
+    """How often pieces end at each place of a word of 200 characters, against sums over all paths."""
+    import sentencepiece
+
+    v = pieces.Vocabulary(pieces.DEFAULT_MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    weight = {sp.id_to_piece(i): 1 / (2.7 - sp.get_score(i)) for i in range(259, sp.vocab_size())}
+    longest = max(map(len, weight))
+    word = ("internationalthenother" * 10)[:200]
+    marked = "▁" + word
+    ahead, behind = [1.0] + [0.0] * len(marked), [0.0] * len(marked) + [1.0]
+    for j in range(1, len(marked) + 1):
+        ahead[j] = sum(ahead[i] * weight.get(marked[i:j], 0) for i in range(max(0, j - longest), j))
+    for i in range(len(marked) - 1, -1, -1):
+        behind[i] = sum(weight.get(marked[i:j], 0) * behind[j] for j in range(i + 1, min(len(marked), i + longest) + 1))
+    exact = np.array([a * b / ahead[-1] for a, b in zip(ahead, behind, strict=True)])
+    n = 4000
+    ids, counts = pieces.segment(v, [word] * n, np.arange(n, dtype=np.uint64))
+    seen, at = np.zeros(len(marked) + 1), 0
+    for c in counts:
+        seen[np.cumsum([len(sp.id_to_piece(int(i))) for i in ids[at : at + c]])] += 1
+        at += c
+    assert np.abs(seen[1:] / n - exact[1:]).max() < 0.04
+    assert exact[64] < 0.9  # where words were once parted
+    texts = ["x" * 70_000, "日本語" * 500, " " * 300 + "a"]
+    ids, counts = pieces.segment(v, texts, np.arange(3, dtype=np.uint64))
+    raw, size = pieces.spell(v, ids, counts)
+    assert raw.tobytes() == "".join(texts).encode() and size.tolist() == [len(x.encode()) for x in texts]
+
+
 def test_piece_ids_agree_with_the_library(spark, corpus):
     import sentencepiece
 
