@@ -7,14 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel
 from .common import crc32_mod
 
-#: Labelled documents whose n-grams are counted, about and not above twice this.
-TRAIN_DOCUMENTS = 20_000
+#: Labelled documents of each language whose n-grams are counted, about. The model has ``CELLS``
+#: numbers for each language (half a megabyte) and goes to every task.
+TRAIN_DOCUMENTS = 5_000
 #: Byte trigrams are hashed to so many cells.
 CELLS = 1 << 16
 SMOOTH = 0.5
@@ -129,9 +131,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, held_out, lang_pred, score, unknown_share, mix by row.
 
     Trigram likelihoods of each language are counted over labelled documents (crc32(id) mod
-    ``fold`` not ``held``, language and text not null): all of them, or a share picked by the
-    hash of the id that is expected to hold ``TRAIN_DOCUMENTS``. The table has ``CELLS`` cells a
-    language.
+    ``fold`` not ``held``, language and text not null): of each language all, or a share picked by
+    the hash of the id that is expected to hold ``TRAIN_DOCUMENTS``, so a rare language is learnt
+    as well as a common one. The table has ``CELLS`` cells a language.
 
     Each whole text is then explained as a mixture of the languages and of an unknown one, whose
     trigrams are all alike: shares by expectation-maximisation, languages dropped while that
@@ -143,21 +145,26 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     first language with score 0. A null id counts as ''. Repeated rows are predicted each. The
     language, source and id of a row play no part in its prediction.
     """
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, fold) == held).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = rows.where(~F.col("held_out") & F.col("lang").isNotNull())
-    n = known.count()
-    part = min(1.0, TRAIN_DOCUMENTS / max(n, 1))
-    some = known.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))).select("lang", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc32_mod(id_col, fold) == held).alias("held_out"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_predict(_model(docs, id_col, text_col, lang_col, fold, held)), "doc_id long, held_out boolean, lang_pred string, score double, unknown_share double, mix array<struct<lang:string,share:double>>")
+
+
+def _model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int, held: int) -> Broadcast:
+    """(languages, likelihood of each trigram cell by language and last under none), for every task."""
+    known = (
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+        .where((crc32_mod("doc_id", fold) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    )
+    # One row for each language; the hash's 62 bits are wide enough for a share of any corpus.
+    share = known.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), F.lit(float(TRAIN_DOCUMENTS)) / F.count(F.lit(1))).alias("part"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 2).cast("double") / F.lit(float(1 << 62))
+    some = known.join(F.broadcast(share), F.col("lang") == F.col("of")).where(place < F.col("part")).select("lang", "text")
     cells = some.mapInArrow(_count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(cells["lang"].unique())
     table = np.full((len(langs) + 1, CELLS), SMOOTH)
     for i, (_, own) in enumerate(cells.groupby("lang", sort=True)):
         table[i, own["cell"].to_numpy(np.int64)] += own["n"].to_numpy(np.float64)
-    model = sc.broadcast((langs, np.ascontiguousarray((table / table.sum(1, keepdims=True)).T)))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(
-        _predict(model), "doc_id long, held_out boolean, lang_pred string, score double, unknown_share double, mix array<struct<lang:string,share:double>>"
-    )
+    return docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray((table / table.sum(1, keepdims=True)).T)))
 
 
 #: A document goes if no known language explains at least this share of it.
@@ -168,7 +175,20 @@ def known_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` whose text is in known languages, all columns.
 
     Rejected are texts without a letter (null too) and texts more than half of which no known
-    language explains. Rows are matched by id; a null id is never rejected.
+    language explains, whatever their id; every row is judged by its own text. Where no language
+    is known at all, only texts without a letter are rejected.
     """
-    bad = identify(docs, id_col, text_col, lang_col).where((F.col("lang_pred") == UNKNOWN) | (F.col("unknown_share") > 1 - LEAST_KNOWN))
-    return docs.join(bad.select(F.col("doc_id").alias("_bad_id")), F.col(id_col) == F.col("_bad_id"), "left_anti")
+    model = _model(docs, id_col, text_col, lang_col, 3, 1)
+    judge = _predict(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(text_col)
+            if not model.value[0]:
+                yield batch.filter(pa.array([bool(t and _LETTER.search(t)) for t in text.to_pylist()], pa.bool_()))
+                continue
+            for told in judge([pa.RecordBatch.from_arrays([text, text, text], names=["doc_id", "held_out", "text"])]):
+                good = [lang != UNKNOWN and other <= 1 - LEAST_KNOWN for lang, other in zip(told.column("lang_pred").to_pylist(), told.column("unknown_share").to_pylist(), strict=True)]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
