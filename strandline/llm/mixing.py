@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut
@@ -13,30 +13,48 @@ from .common import WORD, cut
 HASH_BITS, STEP_BITS = 60, 12
 #: A boundary bucket is refined until no source has more rows in it than this.
 BOUNDARY_ROWS = 4096
+#: A table of so many sources (about 100 bytes each) may go to every task; beyond, rows are dealt
+#: out by source and so many salts.
+FEW_SOURCES, SALTS = 50_000, 32
 
 
-def _mixed(
-    docs: DataFrame,
-    weights: Sequence[int],
-    share: float,
-    cap: int,
-    id_col: str,
-    text_col: str,
-    source_col: str,
-) -> DataFrame:
-    """``mix``, with the source as (none, src)."""
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def _hash(id_col: str) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def _source(source_col: str) -> tuple[Column, Column]:
+    """The source as (none, src)."""
+    return F.col(source_col).isNull(), F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+
+
+def _meet(rows: DataFrame, small: DataFrame, n_sources: int) -> DataFrame:
+    """``rows`` joined with one row for each source (columns p_none, p_src and others).
+
+    Up to ``FEW_SOURCES`` sources go to every task; with more of them, rows of a source are
+    dealt out to ``SALTS`` tasks, so that a source of a third of all rows fills none.
+    """
+    same = (F.col("none") == F.col("p_none")) & (F.col("src") == F.col("p_src"))
+    if n_sources <= FEW_SOURCES:
+        return rows.join(F.broadcast(small), same).drop("p_none", "p_src")
+    salted = small.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("h"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("salt") == F.col("p_salt"))).drop("p_none", "p_src", "p_salt", "salt")
+
+
+def _as_small(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"none": "p_none", "src": "p_src"})
+
+
+def _planned(docs: DataFrame, weights: Sequence[int], share: float, cap: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, none, src, size, h of each row; p_none, p_src, source_size, target, passes, upto of
+    each source; number of sources)."""
+    none, src = _source(source_col)
     rows = cut(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).isNull().alias("none"),
-            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
-            F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-            hashed.alias("h"),
+            F.col(id_col).cast("long").alias("doc_id"), none.alias("none"), src.alias("src"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), _hash(id_col).alias("h")
         )
     )
     by = ["none", "src"]
-    # From here to `plan` there is one row for each source.
+    # From here to `plan` there is one row for each source; its windows take them all in one task.
     each = rows.groupBy(*by).agg(F.sum("size").alias("s"))
     named = each.withColumn("n", F.row_number().over(Window.orderBy("none", "src"))).withColumn(
         "w", F.element_at(F.array(*[F.lit(int(x)) for x in weights]), F.pmod(F.col("n") - 1, F.lit(len(weights))).cast("int") + 1).cast("long")
@@ -55,9 +73,10 @@ def _mixed(
         .select(*by, F.col("s").alias("source_size"), "target", "passes", "need")
     )
     plan = cut(plan)
+    n_sources = plan.count()
 
     shift = HASH_BITS - STEP_BITS
-    inside, edge = rows.join(plan.select(*by, "need"), by).withColumn("before", F.lit(0).cast("long")), None
+    inside = _meet(rows, _as_small(plan.select(*by, "need")), n_sources).withColumn("before", F.lit(0).cast("long"))
     while True:
         order = Window.partitionBy(*by).orderBy("b")
         sums = inside.groupBy(*by, "need", "before", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
@@ -68,27 +87,24 @@ def _mixed(
             .where("k = 1")
             .select(*by, "need", (F.col("end") - F.col("words")).alias("before"), "b", "n")
         )
-        inside = rows.join(edge, [*by]).where(F.shiftright("h", shift) == F.col("b"))
+        inside = _meet(rows, _as_small(edge), n_sources).where(F.shiftright("h", shift) == F.col("b"))
         most = edge.agg(F.max("n")).first()[0] or 0
         if most <= BOUNDARY_ROWS or shift == 0:
             break
         shift -= STEP_BITS
         inside = inside.drop("b", "n")
-    reach = Window.partitionBy(*by).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
-    steps = inside.withColumn("sum", F.col("before") + F.sum("size").over(reach)).select(*by, "h", F.abs(F.col("sum") - F.col("need")).alias("off"))
+    # Rows of equal hash, which go in or out together, first: what is left to sort is one row a hash.
+    equal = inside.groupBy(*by, "h", "before", "need").agg(F.sum("size").alias("size"))
+    reach = Window.partitionBy(*by).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    steps = equal.withColumn("sum", F.col("before") + F.sum("size").over(reach)).select(*by, "h", F.abs(F.col("sum") - F.col("need")).alias("off"))
     start = edge.select(*by, (F.shiftleft("b", shift) - 1).alias("h"), F.abs(F.col("before") - F.col("need")).alias("off"))
     limit = steps.unionByName(start).groupBy(*by).agg(F.min(F.struct("off", "h"))["h"].alias("upto"))
-    return (
-        rows.join(plan.join(limit, by, "left").drop("need"), by)
-        .select(
-            "doc_id",
-            *by,
-            "size",
-            "source_size",
-            "target",
-            (F.col("size") * (F.col("passes") + F.when(F.col("h") <= F.col("upto"), 1).otherwise(0))).cast("long").alias("taken"),
-        )
-    )
+    return rows, cut(_as_small(plan.join(limit, by, "left").drop("need"))), n_sources
+
+
+def _passes() -> Column:
+    """How often a row's text is taken."""
+    return F.col("passes") + F.when(F.col("h") <= F.col("upto"), 1).otherwise(0)
 
 
 def mix(
@@ -116,7 +132,8 @@ def mix(
 
     An empty table gives no rows; other columns are not looked at.
     """
-    return _mixed(docs, weights, share, cap, id_col, text_col, source_col).drop("none", "src")
+    rows, plan, n = _planned(docs, weights, share, cap, id_col, text_col, source_col)
+    return _meet(rows, plan, n).select("doc_id", "size", "source_size", "target", (F.col("size") * _passes()).cast("long").alias("taken"))
 
 
 def mixed_documents(
@@ -129,15 +146,13 @@ def mixed_documents(
     source_col: str = "source",
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0 to ``cap`` times), all columns."""
-    taken = _mixed(docs, weights, share, cap, id_col, text_col, source_col).where("taken > 0")
-    copies = taken.select(
-        F.col("doc_id").alias("_m_id"), F.col("none").alias("_m_none"), F.col("src").alias("_m_src"), (F.col("taken") / F.col("size")).cast("int").alias("_m_copies")
-    ).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_m_id")) & (F.col(source_col).isNull() == F.col("_m_none"))
-    hit = docs.join(copies, same & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("_m_src")))
-    # Rows that repeat id and source share a hash; those of them without words were not taken.
+    _, plan, n = _planned(docs, weights, share, cap, id_col, text_col, source_col)
+    none, src = _source(source_col)
+    # What a row takes hangs on its source and the hash of its id alone, so rows need not meet again.
     worded = F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
-    return hit.where(worded).withColumn("_m_copy", F.explode(F.sequence(F.lit(1), F.col("_m_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.where(worded).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), none.alias("none"), src.alias("src"), _hash(id_col).alias("h"))
+    copies = _meet(own, plan, n).withColumn("copies", _passes()).where("copies > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 SQL = """
