@@ -29,10 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    if spark.sparkContext.getCheckpointDir() is None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -42,6 +45,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` gave."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("table-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop shuffle and checkpoint files that nothing refers to any more."""
     gc.collect()
@@ -52,6 +65,20 @@ def crc32_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
 
 
+#: Edges of one node that a task takes; a node with more is dealt out to several.
+HUB = 1 << 20
+
+
+def _met(both: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with the ``m`` of their u; u's edges are dealt out to a task for each ``HUB`` of
+    them (``least`` has their number n). Nodes with more go to every task: a row for each
+    ``HUB`` edges at most."""
+    tasks = F.ceil(F.col("n") / HUB).cast("int")
+    hubs = least.where(F.col("n") > HUB).select(F.col("u").alias("hub"), tasks.alias("tasks"))
+    dealt = both.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left").select("u", "v", F.when(F.col("hub").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("tasks"))).cast("int").alias("part"))
+    return dealt.join(least.select("u", "m", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("part")), ["u", "part"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
@@ -71,17 +98,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
         large = (
-            both.join(least, "u")
+            _met(both, least)
             .where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u > v")
             .distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(low, "u")
+            _met(large, low)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u > v")

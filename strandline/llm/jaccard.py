@@ -14,8 +14,21 @@ from . import textkernel
 from .common import components, cut, release
 from .textkernel import mix64
 
-#: Shingles that one verification task is meant to hold on each side (8 bytes each).
-BLOCK_SHINGLES = 1_500_000
+#: All pairs of a bucket (the sets that share a key) of at most so many sets are looked at one by
+#: one; larger buckets are searched by leaders first.
+SMALL = 16
+#: Sets that a task holds of one side of a bucket; a larger bucket is dealt out by pairs of blocks.
+BLOCK = 4096
+#: Sets compared with one leader in one task.
+FOLLOWERS = 1 << 16
+#: Bits of a sketch: the power of two from twice the band's largest set, within these.
+LEAST_BITS, MOST_BITS = 128, 4096
+#: Cells of pair comparisons held at once.
+_CELLS = 1 << 21
+#: Deals of elements to parts before a set's elements themselves become keys.
+ROUNDS = 4
+#: Sets that are tried as leaders at once.
+LEADERS = 16
 
 
 def may_differ(percent: int, total: int) -> int:
@@ -33,13 +46,17 @@ def bands(percent: int) -> np.ndarray:
     return np.array(first, dtype=np.int64)
 
 
+def band_of(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.searchsorted(bands(percent), n, side="right") - 1
+
+
 @lru_cache(maxsize=4096)
 def layout(percent: int, band: int) -> tuple[int, int, int]:
     """(differences d, parts, largest size) of the pairs whose smaller set lies in ``band``.
 
-    d + 1 parts are needed so that one is left alone by d differences. Parts that are empty tell
-    nothing and are left out, so as many more are added as may well be empty (mean and three
-    standard deviations).
+    d + 1 parts that hold elements are needed, so that one of them is left alone by d differences.
+    Parts that are empty tell nothing, so as many more are added as are likely to be empty (mean
+    and two standard deviations); ``keys_of`` sees to the sets that this isn't enough for.
     """
     low, high = int(bands(percent)[band]), int(bands(percent)[band + 1]) - 1
     most = high * 100 // percent
@@ -47,17 +64,22 @@ def layout(percent: int, band: int) -> tuple[int, int, int]:
     parts = d + 1
     for _ in range(20):
         empty = parts * np.exp(-low / parts)
-        parts = max(parts, d + 1 + int(np.ceil(empty + 3 * np.sqrt(empty))))
+        parts = max(parts, d + 1 + int(np.ceil(empty + 2 * np.sqrt(empty))))
     return d, parts, most
 
 
-def part_words(u: np.ndarray, band: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def sketch_bits(percent: int, band: int) -> int:
+    high = int(bands(percent)[band + 1]) - 1
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (2 * high - 1).bit_length()))
+
+
+def part_words(u: np.ndarray, salt: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The parts that hold elements, and each one's word: the XOR of its elements' hashes.
 
     One element that two sets don't share changes one word, so the number of words in which two
     sets differ is at most their symmetric difference.
     """
-    part = (mix64(u + np.uint64(band + 1)) % np.uint64(parts)).astype(np.int32)
+    part = (mix64(u + np.uint64(salt)) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     part = part[order]
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -65,159 +87,378 @@ def part_words(u: np.ndarray, band: int, parts: int) -> tuple[np.ndarray, np.nda
 
 
 def keys_of(u: np.ndarray, percent: int) -> np.ndarray:
-    """The join keys of a set, for pairs in which it is the smaller one and the larger one."""
-    n, edges = len(u), bands(percent)
-    own = int(np.searchsorted(edges, n, side="right")) - 1
+    """The join keys of a set, for pairs in which it is the smaller one and the larger one. The
+    lowest bit tells the band that the pair's smaller set lies in from its neighbours.
+
+    Each round deals the elements to parts anew, and rounds go on until more parts hold elements
+    than a similar set may differ in; a set that no round ends has its elements for keys as well.
+    Of two similar sets take the round that ends the one that ends first: both have its keys, and
+    one of its parts is left alone by all differences. Where none ends, both have their elements.
+    So the pair shares a key, always.
+    """
+    n = len(u)
+    own = int(band_of(np.array([n]), percent)[0])
     out = []
-    for band in (own, own - 1):
+    for band, partner in ((own, n * 100 // percent), (own - 1, int(bands(percent)[own]) - 1)):
         if band < 0:
             continue
         d, parts, most = layout(percent, band)
         if d == 0 or n > most:
             continue
-        at, word = part_words(u, band, parts)
-        out.append(mix64(word ^ mix64(at.astype(np.uint64) + (np.uint64(band) << np.uint64(32)))))
+        differ = may_differ(percent, n + partner)
+        seal = np.uint64(band) << np.uint64(32)
+        for turn in range(ROUNDS):
+            at, word = part_words(u, band + 1 + (turn << 20), parts)
+            out.append(_marked(word ^ mix64(at.astype(np.uint64) + seal + np.uint64(turn << 48)), band))
+            if len(at) > differ:
+                break
+        else:
+            out.append(_marked(u + mix64(seal + np.uint64(ROUNDS << 48)), band))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _stats(k: int) -> object:
+def _marked(key: np.ndarray, band: int) -> np.ndarray:
+    return (mix64(key) & ~np.uint64(1)) | np.uint64(band & 1)
+
+
+def sketch_of(u: np.ndarray, bits: int) -> np.ndarray:
+    """Bit sketch: each element flips one bit. The Hamming distance of two is at most their sets'
+    symmetric difference, also when both are folded to fewer bits."""
+    at = (mix64(u ^ np.uint64(0xA5A5)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """Sketches (one a row) with fewer bits."""
+    return np.bitwise_xor.reduce(sketch.reshape(len(sketch), -1, bits // 64), axis=1)
+
+
+def _stats(k: int, percent: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            cls = np.zeros(batch.num_rows, np.uint64)
-            for i, u in textkernel.shingle_sets(batch.column(1).to_pylist(), k):
-                n[i], cls[i] = len(u), textkernel.set_hash(u)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(cls.view(np.int64))], names=["doc_id", "n", "cls"])
+            rows = batch.num_rows
+            n, cls, check = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+            sketch: list[bytes | None] = [None] * rows
+            for i, u in textkernel.shingle_sets(batch.column(2).to_pylist(), k):
+                n[i], cls[i], check[i] = len(u), textkernel.set_hash(u), textkernel.set_hash(u, 1)
+                if len(u):
+                    sketch[i] = sketch_of(u, sketch_bits(percent, int(band_of(n[i : i + 1], percent)[0]))).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n), pa.array(cls.view(np.int64)), pa.array(check.view(np.int64)), pa.array(sketch, pa.binary())], names=["doc_id", "digest", "n", "cls", "chk", "sketch"]
+            )
 
     return run
 
 
-def _keys(k: int, percent: int) -> object:
+def _class(u: np.ndarray, clashes: frozenset[int]) -> int:
+    c = int(textkernel.set_hash(u).view(np.int64))
+    return c if c not in clashes else c ^ int(textkernel.set_hash(u, 1).view(np.int64))
+
+
+def _keys(k: int, percent: int, clashes: frozenset[int]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             keys, owners, held = [], [], 0
             for _, u in textkernel.shingle_sets(batch.column(0).to_pylist(), k):
-                c = int(textkernel.set_hash(u))
+                c = _class(u, clashes)
                 if c in seen or not len(u):
                     continue
                 seen.add(c)
                 own = keys_of(u, percent)
                 keys.append(own)
-                owners.append(np.full(len(own), c, np.uint64))
+                owners.append(np.full(len(own), c, np.int64))
                 held += len(own)
                 if held > 500_000:
-                    yield _pairs(keys, owners, "key", "cls")
+                    yield _columns(key=np.concatenate(keys).view(np.int64), cls=np.concatenate(owners))
                     keys, owners, held = [], [], 0
             if held:
-                yield _pairs(keys, owners, "key", "cls")
+                yield _columns(key=np.concatenate(keys).view(np.int64), cls=np.concatenate(owners))
 
     return run
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray], x: str, y: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64)) for z in (a, b)], names=[x, y])
+def _columns(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _sets(k: int) -> object:
-    """Members with their sets; a row whose text isn't its class's (ids repeat) is left out."""
+def _sets(k: int, clashes: frozenset[int]) -> object:
+    """Classes with their sets; a row whose text isn't its class's (ids repeat) is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             expected = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, sets = [], []
+            rows, sets, held = [], [], 0
             for i, u in textkernel.shingle_sets(batch.column(1).to_pylist(), k):
-                if textkernel.set_hash(u).view(np.int64) == expected[i]:
-                    rows.append(i)
+                if _class(u, clashes) == expected[i]:
+                    rows.append(int(expected[i]))
                     sets.append(u.tobytes())
-            kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), *(kept.column(c) for c in range(2, 4)), pa.array(sets, pa.binary())], names=["cls", "cluster", "groups", "set"])
+                    held += len(u)
+                    if held > _CELLS:
+                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "set"])
+                        rows, sets, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "set"])
 
     return run
 
 
-class _Forest:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up.get(x, x) != x:
-            up[x] = up.get(up[x], up[x])
-            x = up[x]
-        return x
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows of groups that are complete, where each group begins) of batches sorted by ``columns``."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        new = _starts(table, columns)
+        if new[-1]:
+            yield table.slice(0, new[-1]), new[:-1]
+        rest = table.slice(new[-1])
+    if rest is not None:
+        yield rest, np.zeros(1, np.int64)
+
+
+def _starts(table: pa.Table, columns: list[str]) -> np.ndarray:
+    change = np.zeros(table.num_rows, bool)
+    change[0] = True
+    for c in columns:
+        x = table[c].to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(change)
+
+
+class _Bucketed:
+    """Rows of buckets: the sketches of each, at the width of its bucket's band."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.percent = percent
+        self.cls, self.n = table["cls"].to_numpy(), table["n"].to_numpy()
+        own = band_of(self.n, percent)
+        band = own - ((own ^ table["key"].to_numpy()) & 1)
+        need = np.array([sketch_bits(percent, b) // 64 for b in range(int(band.max()) + 1)])
+        self.words = need[band]
+        column = table["sketch"].combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = column.chunk(0)
+        off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw, has = np.frombuffer(column.buffers()[2], np.uint8), np.diff(off) // 8
+        self.at, self.sketch = np.zeros(len(self.n), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            parts, places = [], []
+            for h in np.unique(has[self.words == w]).tolist():
+                rows = np.flatnonzero((self.words == w) & (has == h))
+                whole = raw[(off[rows, None] + np.arange(8 * h))].view(np.uint64)
+                parts.append(folded(whole, 64 * w))
+                places.append(rows)
+            self.sketch[w] = np.concatenate(parts)
+            self.at[np.concatenate(places)] = np.arange(len(self.sketch[w]))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sizes and sketches let the pairs of rows a, b link (both in one bucket)."""
+        total = self.n[a] + self.n[b]
+        ok = 100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b])
+        for w, sketch in self.sketch.items():
+            own = np.flatnonzero(ok & (self.words[a] == w))
+            step = max(1, _CELLS // w)
+            for lo in range(0, len(own), step):
+                x = own[lo : lo + step]
+                far = np.bitwise_count(sketch[self.at[a[x]]] ^ sketch[self.at[b[x]]]).sum(1, dtype=np.int64)
+                ok[x] = far <= (100 - self.percent) * total[x] // (100 + self.percent)
+        return ok
+
+
+def _candidates(percent: int, every: bool) -> object:
+    """Pairs of classes that share a bucket and that sizes and sketches let link.
+
+    ``every``: all of them whose components ``comp`` differ. Else, in a bucket of more than
+    ``SMALL``, each class meets the leaders before it alone: the first class of those that no
+    leader is near to is the next leader.
+    """
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-        return x != y
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in _whole_groups(batches, ["key", "i", "j"]):
+            rows = _Bucketed(table, percent)
+            comp, block = table["comp"].to_numpy(), table["block"].to_numpy()
+            cross = (table["i"].to_numpy() != table["j"].to_numpy())[first]
+            size = np.diff(np.append(first, table.num_rows))
+            found = []
+            for m in np.unique(size[(size > 1) & ((size <= SMALL) & ~cross)]).tolist():
+                x, y = np.triu_indices(m, 1)
+                begin = first[(size == m) & ~cross]
+                step = max(1, _CELLS // 8 // len(x))
+                for lo in range(0, len(begin), step):
+                    at = begin[lo : lo + step, None]
+                    found.append(_kept(rows, comp, (at + x).ravel(), (at + y).ravel(), every))
+            for g in np.flatnonzero((size > SMALL) | ((size > 1) & cross)).tolist():
+                own = np.arange(first[g], first[g] + size[g])
+                found += _in_bucket(rows, comp, block, own, bool(cross[g]), every)
+            pairs = [p for p in found if len(p[0])]
+            if pairs:
+                a, b = (np.concatenate(z) for z in zip(*pairs, strict=True))
+                both = np.unique(np.stack([np.minimum(rows.cls[a], rows.cls[b]), np.maximum(rows.cls[a], rows.cls[b])], 1), axis=0)
+                yield _columns(a=np.ascontiguousarray(both[:, 0]), b=np.ascontiguousarray(both[:, 1]))
 
+    return run
 
-def _parity(sets: list[np.ndarray], words: int) -> np.ndarray:
-    """Bit sketches: each element flips one of 64 * words bits. Their Hamming distance is at most
-    the symmetric difference."""
-    out = np.zeros((len(sets), words), np.uint64)
-    for r, u in enumerate(sets):
-        at = (mix64(u ^ np.uint64(0xA5A5)) % np.uint64(64 * words)).astype(np.int64)
-        bits = (np.bincount(at, minlength=64 * words) & 1).astype(np.uint8)
-        out[r] = np.packbits(bits, bitorder="little").view(np.uint64)
-    return out
 
+def _kept(rows: _Bucketed, comp: np.ndarray, a: np.ndarray, b: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    if every:
+        other = comp[a] != comp[b]
+        a, b = a[other], b[other]
+    ok = rows.near(a, b)
+    return a[ok], b[ok]
+
+
+def _in_bucket(rows: _Bucketed, comp: np.ndarray, block: np.ndarray, own: np.ndarray, cross: bool, every: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one large bucket, or of two blocks of it (``cross``: of different blocks alone)."""
+    if not every:
+        return _led(rows, block, own, cross)
+    if (comp[own] == comp[own[0]]).all():
+        return []
+    own = own[np.argsort(rows.n[own], kind="stable")]
+    last = np.searchsorted(rows.n[own], rows.n[own] * 100 // rows.percent, side="right")
+    found, lo = [], 0
+    while lo < len(own):  # so many rows at once that their comparisons fit
+        hi = lo + 1
+        while hi < len(own) and (hi + 1 - lo) * (last[hi] - lo) <= _CELLS // 8:
+            hi += 1
+        span = np.arange(lo, int(last[hi - 1]))
+        x, y = np.repeat(np.arange(lo, hi), len(span)), np.tile(span, hi - lo)
+        ok = (y > x) & (y < last[x])
+        if cross:
+            ok &= block[own[x]] != block[own[y]]
+        found.append(_kept(rows, comp, own[x[ok]], own[y[ok]], every))
+        lo = hi
+    return found
 
-def links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, both: bool, percent: int, only: int = -1) -> list[tuple[int, int]]:
-    """Edges that connect all sets that are linked: a spanning forest of the links.
 
-    Pairs are looked at by size band; of those whose sizes and sketches allow it, and which no
-    earlier edge connects, the sets are compared. ``both``: pairs within a side count too.
-    ``only``: a band, to take pairs whose smaller set lies in it alone.
-    """
-    forest, found = _Forest(), []
-    size = np.array([len(u) for u in sets], dtype=np.int64)
-    order = np.argsort(size, kind="stable")
-    band = np.searchsorted(bands(percent), size, side="right") - 1
-    for b in np.unique(band) if only < 0 else [only]:
-        rows = order[(band[order] == b) | (band[order] == b + 1)]
-        own = int((band[rows] == b).sum())
-        if len(rows) < 2 or not own:
-            continue
-        sketch = _parity([sets[r] for r in rows], max(1, -(-int(size[rows[own - 1]]) // 64)))
-        n, s, name = size[rows], side[rows], ids[rows]
-        for i in range(own):
-            last = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            if last <= i + 1:
-                continue
-            far = np.bitwise_count(sketch[i + 1 : last] ^ sketch[i]).sum(1, dtype=np.int64)
-            ok = far <= (100 - percent) * (n[i + 1 : last] + n[i]) // (100 + percent)
-            if not both:
-                ok &= s[i + 1 : last] != s[i]
-            for j in np.flatnonzero(ok) + i + 1:
-                x, y = int(name[i]), int(name[j])
-                if x == y or forest.find(x) == forest.find(y):
-                    continue
-                common = len(np.intersect1d(sets[rows[i]], sets[rows[j]], assume_unique=True))
-                if 100 * common >= percent * (n[i] + n[j] - common):
-                    forest.join(x, y)
-                    found.append((x, y))
+def _led(rows: _Bucketed, block: np.ndarray, own: np.ndarray, cross: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a leader and a row near to it that no leader before has. Rows lead in the order of
+    their names, so that buckets with much the same rows have much the same leaders."""
+    rest, found = own[np.argsort(rows.cls[own])], []
+    while len(rest) > 1:
+        head = min(LEADERS, len(rest))
+        x, y = np.repeat(np.arange(head), len(rest)), np.tile(np.arange(len(rest)), head)
+        ok = y > x
+        if cross:
+            ok &= block[rest[x]] != block[rest[y]]
+        x, y = x[ok], y[ok]
+        ok = rows.near(rest[x], rest[y])
+        x, y = x[ok], y[ok]
+        taken = np.zeros(len(rest), bool)
+        for i in np.unique(x).tolist():
+            if not taken[i]:
+                near = y[x == i]
+                near = near[~taken[near]]
+                found.append((np.full(len(near), rest[i]), rest[near]))
+                taken[near] = True
+        taken[:head] = True
+        rest = rest[~taken]
     return found
 
 
-def _verify(percent: int) -> object:
-    def run(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(b, np.uint64) for b in table["set"].to_pylist()]
-        ids, cluster = table["cls"].to_numpy(), table["cluster"].to_numpy()
-        side, i, j, band = (table[c].to_numpy() for c in ("block", "i", "j", "band"))
-        a, b = [], []
-        order = np.argsort(cluster, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            for x, y in links(ids[rows], [sets[r] for r in rows], side[rows], bool(i[rows[0]] == j[rows[0]]), percent, int(band[rows[0]])):
-                a.append(x)
-                b.append(y)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _linked(percent: int) -> object:
+    """Of rows (a, salt, b, set), where the row of a itself comes first (b null), the pairs that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, u = None, np.empty(0, np.uint64)
+        for batch in batches:
+            left, right = [], []
+            for a, salt, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "set")), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                if b is None:
+                    leader, u = (a, salt), own.copy()
+                elif leader == (a, salt):
+                    small, large = (own, u) if len(own) <= len(u) else (u, own)
+                    at = np.searchsorted(large, small)
+                    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                    if 100 * common >= percent * (len(own) + len(u) - common):
+                        left.append(a)
+                        right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
+class _Join:
+    """The steps of the join over one table; ``jaccard_components`` tells them."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str):
+        self.k, self.percent = k, percent
+        self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        digest = F.xxhash64(F.col("text"), F.length("text"))
+        told = cut(self.rows.select("doc_id", digest.alias("digest"), "text").mapInArrow(_stats(k, percent), "doc_id long, digest long, n long, cls long, chk long, sketch binary"))
+        worded = told.where("n > 0")
+        # Different sets with one 64-bit hash are expected ten times in 2 * 10^10 sets.
+        clash = worded.groupBy("cls").agg(F.min("chk").alias("lo"), F.max("chk").alias("hi")).where("lo <> hi").select("cls").collect()
+        self.clashes = frozenset(r["cls"] for r in clash)
+        cls = F.when(F.col("cls").isin(list(self.clashes)), F.col("cls").bitwiseXOR("chk")).otherwise(F.col("cls")) if clash else F.col("cls")
+        self.stats = told.withColumn("cls", cls).drop("chk", "sketch")
+        self.classes = cut(told.where("n > 0").withColumn("cls", cls).groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+    def buckets(self) -> DataFrame:
+        """key, cls, m: the keys that several classes share, and how many do."""
+        keyed = self.rows.select("text").mapInArrow(_keys(self.k, self.percent, self.clashes), "key long, cls long")
+        order, whole = Window.partitionBy("key").orderBy("cls"), Window.partitionBy("key")
+        beside = F.coalesce(F.lag("cls").over(order) != F.col("cls"), F.lit(False)) | F.coalesce(F.lead("cls").over(order) != F.col("cls"), F.lit(False))
+        shared = keyed.withColumn("beside", beside).where("beside").select("key", "cls").distinct()
+        return cut(shared.withColumn("m", F.count(F.lit(1)).over(whole)))
+
+    def candidates(self, buckets: DataFrame, every: bool, comps: DataFrame | None = None) -> DataFrame:
+        rows = buckets.join(self.classes.select("cls", "n", "sketch"), "cls")
+        if comps is not None:
+            rows = rows.join(comps, F.col("cls") == F.col("node"), "left")
+        comp = F.col("cls") if comps is None else F.coalesce("component", "cls")
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        dealt = (
+            rows.select("key", "cls", "n", "sketch", comp.alias("comp"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "n", "comp", "sketch")
+            .repartition("key", "i", "j")
+            .sortWithinPartitions("key", "i", "j")
+        )
+        return dealt.mapInArrow(_candidates(self.percent, every), "a long, b long").distinct()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets link."""
+        need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        named = self.classes.select("cls", "least").join(need, "cls", "left_semi")
+        texts = self.rows.join(named, F.col("doc_id").eqNullSafe(F.col("least"))).select("cls", "text")
+        # Rows that repeat an id and a text give a set several times.
+        sets = cut(texts.mapInArrow(_sets(self.k, self.clashes), "cls long, set binary").dropDuplicates(["cls"]))
+        # One row for each leader of more than FOLLOWERS pairs: a small share of the pairs.
+        hot = pairs.groupBy("a").count().where(F.col("count") > FOLLOWERS).select(F.col("a").alias("hot"), F.ceil(F.col("count") / FOLLOWERS).cast("int").alias("salts"))
+        salted = pairs.join(F.broadcast(hot), F.col("a") == F.col("hot"), "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        followers = salted.join(sets, F.col("b") == F.col("cls")).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", "set")
+        leaders = salted.select("a", "salts").distinct().join(sets, F.col("a") == F.col("cls")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "set")
+        met = leaders.unionByName(followers).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        return met.mapInArrow(_linked(self.percent), "a long, b long")
+
+    def links(self) -> DataFrame:
+        """All pairs (a, b) of classes that link, a < b."""
+        return cut(self.verified(cut(self.candidates(self.buckets(), True))))
+
+    def groups(self) -> DataFrame:
+        """node, component of the classes that link with others."""
+        buckets = self.buckets()
+        release(self.rows.sparkSession)
+        tried = cut(self.candidates(buckets, False))
+        linked = cut(self.verified(tried))
+        comps = components(linked)
+        if buckets.where(F.col("m") > SMALL).limit(1).count():
+            rest = self.candidates(buckets.where(F.col("m") > SMALL), True, comps).join(tried, ["a", "b"], "left_anti")
+            more = cut(self.verified(cut(rest)))
+            if more.limit(1).count():
+                comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        release(self.rows.sparkSession)
+        return comps
+
+    def grouped(self) -> DataFrame:
+        """doc_id, digest, n, cls, component (of classes; null without words), least of the class."""
+        found = self.groups().select(F.col("node").alias("cls"), "component")
+        known = self.classes.select("cls", "least").join(found, "cls", "left").select(F.col("cls").alias("k_cls"), "least", F.coalesce("component", "cls").alias("component"))
+        return self.stats.join(known, (F.col("cls") == F.col("k_cls")) & (F.col("n") > 0), "left").drop("k_cls")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, class_doc_id by row.
 
@@ -225,70 +466,27 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     (A-Z in lower case; all words where there are fewer than k) is percent / 100 or more. No link
     is lost: sets are held as 64-bit hashes of their shingles, all comparisons are exact.
 
-    1. Equal sets become one class (class_id, its least doc_id class_doc_id).
+    1. Equal sets become one class (class_id, its least doc_id class_doc_id), which has a parity
+       sketch: each element flips one of about twice as many bits as the set may have elements.
     2. Each class's set is cut by hash into parts, d + 1 and a few, where d is the greatest
        difference that similar sets of its size band can have; the XOR of a part's hashes is its
-       word. Of two similar sets one part at least is equal, by the pigeonhole principle, so its
-       word is; classes that share a word are chained in the order of their ids, a row for each.
-       Empty parts don't count; a set is only at risk if more of them are empty than three
-       standard deviations allow *and* each of its other parts is hit by one of the d
-       differences, which has odds far below 1e-9.
-    3. Components of these chains are candidate clusters. Small ones share a task; a large one is
-       parted by size band and dealt by blocks of bounded size, one task for two blocks. Within a task parity
-       sketches, whose Hamming distance is at most the symmetric difference, rule out most
-       pairs; the rest are verified on the full sets, unless they are connected already.
-    4. Components of the links.
+       word. Of two similar sets one part at least is equal (``keys_of``), so its word is, and
+       the classes that share a word are a bucket.
+    3. In a bucket sizes and the Hamming distance of sketches, at most the symmetric difference,
+       rule pairs out before any set is moved. Buckets above ``SMALL`` are searched by leaders
+       first, so a family of n alike texts gives about n pairs; those above ``BLOCK`` are dealt
+       out by pairs of blocks. The pairs left are compared by their whole sets.
+    4. Components of the links. Then the large buckets are gone through again for pairs of
+       different components, and those are compared as well: no pair that shares a bucket, passes
+       its sketch and isn't connected already is left out.
 
     Null and empty texts have n_shingles 0 and are their own component, as is a row with null id
     for itself. Rows that repeat an id count each. An empty table gives no rows. Other columns
     are not looked at.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    stats = cut(rows.mapInArrow(_stats(k), "doc_id long, n long, cls long"))
-    classes = cut(stats.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")))
-
-    keyed = rows.select("text").mapInArrow(_keys(k, percent), "key long, cls long")
-    chain = keyed.withColumn("before", F.lag("cls").over(Window.partitionBy("key").orderBy("cls")))
-    chained = cut(chain.where("before < cls").select(F.col("before").alias("a"), F.col("cls").alias("b")).distinct())
-    release(spark)
-    clusters = components(chained).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
-    members = cut(clusters.join(classes, "cls"))
-    edges = [int(e) for e in bands(percent) if e < 1 << 31]
-    band = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("n"))) - 1
-    total = members.groupBy("cluster").agg(F.sum("n").alias("words"))
-    all_words = total.agg(F.sum("words")).first()[0] or 0
-    # A large cluster is parted by size: a set meets those of its own band and of the next one.
-    parts = members.join(total, "cluster").select(
-        "least", F.col("cls").alias("m_cls"), "cluster", "n",
-        F.explode(F.when(F.col("words") > BLOCK_SHINGLES, F.array(band, band - 1)).otherwise(F.array(F.lit(-1)))).alias("band"), (F.col("words") > BLOCK_SHINGLES).alias("large"),
-    ).where("band >= 0 OR NOT large")
-    parts = cut(parts)
-    blocks = parts.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = parts.join(blocks, ["cluster", "band"]).groupBy("m_cls", "least", "cluster").agg(F.collect_list(F.struct("band", "blocks")).alias("groups"))
-    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("least"))).select("m_cls", "text", "cluster", "groups")
-    sets = texts.mapInArrow(_sets(k), "cls long, cluster long, groups array<struct<band:int,blocks:int>>, set binary")
-    bins = max(spark.sparkContext.defaultParallelism, int(all_words // BLOCK_SHINGLES) + 1)
-    dealt = (
-        sets.withColumn("g", F.explode("groups"))
-        .select("cls", "cluster", "set", "g.band", "g.blocks")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("block", "other"))
-        .withColumn("j", F.greatest("block", "other"))
-        .withColumn("task", F.when(F.col("band") >= 0, F.xxhash64("cluster", "band", "i", "j")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(bins))))
-        .select("task", "cls", "cluster", "band", "block", "i", "j", "set")
-    )
-    linked = cut(dealt.groupBy("task").applyInArrow(_verify(percent), "a long, b long"))
-    release(spark)
-    found = components(linked)
-    reach = found.join(classes, found["node"] == classes["cls"]).select("cls", "component", "least")
-    least = reach.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = reach.join(least, "component").select(F.col("cls").alias("f_cls"), "component_id")
-    known = classes.join(named, classes["cls"] == named["f_cls"], "left").select(
-        F.col("cls").alias("k_cls"), "least", F.coalesce("component_id", "least").alias("component_id")
-    )
-    return stats.join(known, (F.col("cls") == F.col("k_cls")) & (F.col("n") > 0), "left").select(
+    rows = _Join(docs, k, percent, id_col, text_col).grouped()
+    least = rows.where("n > 0").groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id"))
+    return rows.join(least, F.col("component") == F.col("of"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
@@ -297,13 +495,38 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     )
 
 
+def jaccard_links(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links, not only those that connect components.
+
+    First (class_a, class_b), class_a < class_b: the pairs of different sets that link. Second by
+    row doc_id, class_id, n_shingles, n_links: the other rows that it links with, those of its own
+    class (equal sets) and those of linked classes; rows without words have none. Rows as
+    ``jaccard_components`` takes them. All pairs of a bucket that pass their sketches are
+    compared here, so a family of n alike texts costs up to n * n / 2 rows: those are the result.
+    """
+    join = _Join(docs, k, percent, id_col, text_col)
+    pairs = join.links()
+    size = join.stats.where("n > 0").groupBy(F.col("cls").alias("of")).agg(F.count(F.lit(1)).alias("rows"))
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    beside = ends.join(size, F.col("y") == F.col("of")).groupBy("x").agg(F.sum("rows").alias("others"))
+    every = size.join(beside, F.col("of") == F.col("x"), "left").select("of", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    rows = join.stats.join(every, (F.col("cls") == F.col("of")) & (F.col("n") > 0), "left")
+    return pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), rows.select("doc_id", F.col("cls").alias("class_id"), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first (least id) of their component, all columns.
+    """The rows of ``docs`` that are the first of their component, all columns: the least id, null
+    ids last, and the least digest of the text where near copies share an id.
 
-    Texts without words and rows with a null id stay.
+    Rows are told apart by id and text: those that repeat both are one document and stay or go
+    together. Texts without words stay.
     """
-    gone = jaccard_components(docs, k, percent, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")
+    rows = _Join(docs, k, percent, id_col, text_col).grouped().where("n > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"))
+    first = rows.groupBy(F.col("component").alias("of")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") < F.col("last"))
+    gone = cut(rows.join(first, F.col("component") == F.col("of")).where(place > F.col("first")).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct())
+    release(docs.sparkSession)
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col(text_col), F.length(text_col)) == F.col("_gone_digest")), "left_anti")
 
 
 SQL = """

@@ -111,7 +111,8 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[tuple[int, np.ndar
                 yield lo + r, np.empty(0, np.uint64)
 
 
-def set_hash(u: np.ndarray) -> np.uint64:
+def set_hash(u: np.ndarray, seed: int = 0) -> np.uint64:
     """One 64-bit hash of a whole set, whatever the order of its elements."""
     with np.errstate(over="ignore"):
-        return mix64(mix64(u).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(u)) * np.uint64(0x9E3779B97F4A7C15))[0]
+        own = mix64(u) if not seed else mix64(u * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
+        return mix64(own.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(u)) * np.uint64(0x9E3779B97F4A7C15))[0]

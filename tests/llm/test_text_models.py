@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import jaccard, langid, ngramlm, pieces, registry, textkernel, toxicity
+from strandline.llm import common, jaccard, langid, ngramlm, pieces, registry, textkernel, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
@@ -60,14 +60,74 @@ def test_jaccard_against_brute_force(spark, k, percent, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, k, percent))
 
 
-def test_jaccard_blocks(spark, monkeypatch):
-    """A cluster in several blocks gives the same components."""
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 800)
+@pytest.mark.parametrize("small,block,leaders", [(1, 16, 2), (4, 30, 5), (2, 1 << 20, 16)])
+def test_jaccard_large_buckets(spark, monkeypatch, small, block, leaders):
+    """Buckets searched by leaders and dealt out in blocks give the same components."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard, "FOLLOWERS", 3)
+    monkeypatch.setattr(common, "HUB", 2)
     rows = near_copies(5, 200)
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 3, 80))
 
 
+def test_jaccard_family_and_shared_passage(spark, monkeypatch):
+    """A family of near copies and many texts that share a passage: all links, and few pairs."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    r = random.Random(8)
+    word = lambda: "w%d" % r.randrange(3000)
+    base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        w[r.randrange(150)] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(250 + i, " ".join([word() for _ in range(60)] + passage + [word() for _ in range(60)])) for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(docs, 5, 80).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute_components(rows, 5, 80))
+    join = jaccard._Join(docs, 5, 80, "doc_id", "text")
+    assert join.candidates(join.buckets(), False).count() < 10 * 250
+
+
+@pytest.mark.parametrize("k,percent,seed", [(3, 90, 4), (5, 80, 5), (2, 50, 6)])
+def test_jaccard_links(spark, k, percent, seed):
+    """Every link, counted for each row, against all pairs."""
+    rows = near_copies(seed, 200)
+    sets = [shingles(t, k) for _, t in rows]
+    want = [sum(i != j and bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) for j in range(200)) for i in range(200)]
+    pairs, links = jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), k, percent)
+    got = {r.doc_id: r for r in links.collect()}
+    assert [got[i].n_links for i in range(200)] == want
+    classes = {tuple(sorted((got[i].class_id, got[j].class_id))) for i in range(200) for j in range(i) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    assert {(r.class_a, r.class_b) for r in pairs.collect()} == classes
+
+
+def test_jaccard_keys_meet():
+    """Sets at the very edge of the threshold share a key, however their parts fall."""
+    g = np.random.default_rng(1)
+    for percent in (50, 60, 80, 90):
+        for n in (1, 2, 3, 5, 9, 10, 19, 40, 133, 300):
+            for _ in range(30):
+                u = np.unique(g.integers(0, 1 << 62, n + 1).astype(np.uint64))[:n]
+                out = int(g.integers(0, n))
+                more = n * 100 // percent - n if not out else 0
+                v = np.unique(np.concatenate([u[out:], g.integers(0, 1 << 62, more).astype(np.uint64)]))
+                a, b = len(np.intersect1d(u, v)), len(np.union1d(u, v))
+                if 100 * a >= percent * b and a < b:
+                    assert len(np.intersect1d(jaccard.keys_of(u, percent), jaccard.keys_of(v, percent)))
+
+
+def test_first_of_each_with_one_id(spark):
+    """Near copies that share an id: one stays; a clean text with the id of a copy stays."""
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen " * 3
+    rows = [(1, text), (1, text + "more"), (2, text + "again"), (2, "a clean text of its own with words enough"), (None, text + "last"), (None, "without an id but clean words too")]
+    left = jaccard.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit(1))).collect()
+    assert sum(r.text.startswith("one two") and r.doc_id == 1 for r in left) == 1 and len(left) == 3
+
+
 def test_jaccard_cases(odd_docs, no_docs):
     got = jaccard.jaccard_components(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -83,8 +143,10 @@ def test_parity_distance_is_a_lower_bound():
     r = np.random.default_rng(0)
     for _ in range(50):
         a, b = (np.unique(r.integers(0, 400, 200).astype(np.uint64)) for _ in range(2))
-        s = jaccard._parity([a, b], 3)
-        assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(a, b))
+        s = np.stack([jaccard.sketch_of(x, 512) for x in (a, b)])
+        far = [np.bitwise_count(x[0] ^ x[1]).sum() for x in (jaccard.folded(s, 128), s)]
+        assert far[0] <= far[1] <= len(np.setxor1d(a, b))
+        assert (jaccard.folded(s, 128)[0] == jaccard.sketch_of(a, 128)).all()
 
 
 def test_words_and_hashes():
