@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,8 +57,12 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver drop shuffle and checkpoint files that nothing refers to any more."""
+    """Let the driver drop shuffle and checkpoint files that nothing refers to any more.
+
+    The gateway to the JVM hands dropped references over once a second, so it is waited for.
+    """
     gc.collect()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -90,7 +95,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Every step is a ``min`` per node (combined before the shuffle) and one equi-join. The loop
     ends when the forest is a set of stars, which one count tells.
     """
-    spark = edges.sparkSession
     e = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("a IS NOT NULL AND b IS NOT NULL AND u > v")
@@ -119,7 +123,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         heads = new.select(F.col("v").alias("u")).distinct()
         left = new.groupBy("u").count().where("count > 1").select("u").unionByName(new.select("u").join(heads, "u", "left_semi")).limit(1).count()
         e = new
-        release(spark)
         if not left:
             break
     else:

@@ -64,8 +64,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     that repeat both id and text, one stays.
     """
     key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("")), h)
-    found = exact_dedup(docs, id_col, text_col).where("kept")
-    keep = cut(found.select(key(F.col("doc_id"), F.col("text_sha256")).alias("_own_k")))
+    keep = cut(exact_dedup(docs, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_own_k")))
     release(docs.sparkSession)  # the texts that were shuffled to find them
     marked = docs.withColumn("_own_k", key(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)))
     # One key for both, so that rows are dealt out once.
