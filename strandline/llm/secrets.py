@@ -33,13 +33,21 @@ ENCODINGS = (
     ("base64url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 ENCODED = "|".join(look for _, look, _ in ENCODINGS)
+#: Names and words: runs without a digit, what is left of them without separators, and its alphabet.
+NAMES = (
+    ("lower", r"^[a-z]{20,}$", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", r"^[A-Z]{20,}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("mixed", r"^[A-Za-z]{20,}$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+)
 #: Tokens of alike length are judged together: length / 8, up to so many bands.
 BAND, BANDS = 8, 16
-#: Share of truly random tokens that may be lost, and steps of -ln(p) that p-values are counted in.
+#: Share of the reported tokens that may be names, and steps of -ln(p) that p-values are counted in.
 FALSE_DISCOVERIES = 0.05
 STEP, STEPS = 0.05, 1024
-#: A token must carry so many bits, or the tests can't tell it from a name.
-LEAST_BITS = 96
+#: What is assumed of names before any are seen: so many, none of which passes for random at 5 %.
+PRIOR_NAMES, PRIOR_STEP = 100, 60
+#: Matches of a text whose places are added up together.
+PLACES = 256
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -48,7 +56,7 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
     matches themselves give the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<b:bigint,k:int,e:bigint,m:string>>").alias("s"))
+    spans = "array<struct<b:bigint,k:int,e:bigint,m:string>>"
     # The piece after the last match has no match behind it; zip_with pads with nulls.
     steps = F.zip_with(F.arrays_zip(found.alias("m"), judged.alias("g")), F.split(text, pattern, -1), lambda x, gap: F.struct(x["m"].alias("m"), x["g"].alias("g"), gap.alias("gap")))
 
@@ -59,8 +67,14 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
         keep = x["m"].isNotNull() & (F.char_length(x["g"]) >= least)
         return F.struct(end.cast("long").alias("at"), F.when(keep, F.concat(acc["s"], F.array(own))).otherwise(acc["s"]).alias("s"))
 
-    none = F.array().cast("array<struct<b:bigint,k:int,e:bigint,m:string>>")
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(steps, zero, step, lambda acc: acc["s"])).otherwise(none)
+    def chunk(acc: Column, xs: Column) -> Column:
+        # A fold that lengthens its list copies it each time, so lists stay short: one for each chunk.
+        start = F.struct(acc["at"].alias("at"), F.array().cast(spans).alias("s"))
+        return _let(F.aggregate(xs, start, step), lambda own: F.struct(own["at"].alias("at"), F.concat(acc["s"], F.array(own["s"])).alias("s")))
+
+    chunks = F.transform(F.sequence(F.lit(1), F.size(steps), F.lit(PLACES)), lambda i: F.slice(steps, i, F.lit(PLACES)))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{spans}>").alias("s"))
+    return F.when(F.rlike(text, F.lit(pattern)), F.flatten(F.aggregate(chunks, zero, chunk)["s"])).otherwise(F.array().cast(spans))
 
 
 def _tokens(run: Column) -> Column:
@@ -100,13 +114,13 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _battery(token: Column) -> Column:
-    """(encoding, band, bits, step), or null for a token in no encoding: step counts -ln(p) of
+def _battery(token: Column, encodings: tuple = ENCODINGS) -> Column:
+    """(encoding, band, step), or null for a token in no encoding: step counts -ln(p) of
     Fisher's combination of three p-values that a token of random characters would have:
     chi-squared of its alphabet, runs above and below the alphabet's middle, and serial
     correlation of neighbouring values."""
     form = None
-    for name, look, alphabet in ENCODINGS:
+    for name, look, alphabet in encodings:
         own = F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("abc"), F.lit(float(len(alphabet))).alias("size"))
         form = F.when(F.rlike(token, F.lit(look)), own) if form is None else form.when(F.rlike(token, F.lit(look)), own)
     zero = lambda: F.lit(0.0)
@@ -153,7 +167,6 @@ def _battery(token: Column) -> Column:
         return F.struct(
             x["name"].alias("encoding"),
             F.least(F.floor(x["n"] / BAND), F.lit(BANDS)).cast("int").alias("band"),
-            (x["n"] * F.log2(x["size"])).alias("bits"),
             F.least(F.floor(F.greatest(minus_log, zero()) / STEP), F.lit(STEPS)).cast("int").alias("step"),
         )
 
@@ -166,13 +179,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Base spans come from the three patterns, over whole texts. The method adds spans of kind
     'random': runs that look like an encoding and pass for random characters in it (``_tokens``:
-    '=' between a name and its value and separators foreign to the encoding part them). Each run gets
-    one p-value for "these characters are random"; per encoding and length band, Benjamini and
-    Hochberg's step-up rejects the runs that aren't, at a false-discovery rate of
-    ``FALSE_DISCOVERIES``, so the threshold a run must pass depends on how many alike in length
-    there are. p-values are counted in a histogram over all documents, so nothing is sorted and
-    what reaches the driver is a threshold for each encoding and band. Runs of fewer than
-    ``LEAST_BITS`` bits, and those that overlap a base span, are left out.
+    '=' between a name and its value and separators foreign to the encoding part them). The
+    battery measures how far a run is from random characters. What names and words measure is
+    taken from the corpus: the runs without a digit, by length band. A run's p-value is the share
+    of names in its band that look as random as it does; per encoding and band Benjamini and
+    Hochberg's step-up then takes as many runs as keep the share of names among those reported
+    at ``FALSE_DISCOVERIES``. Short names look more random than long ones, so short bands ask for
+    more. Where names are few, ``PRIOR_NAMES`` count. All counts are histograms over all
+    documents; nothing is sorted, and what reaches the driver is a count for each encoding, band
+    and step. Runs that overlap a base span are left out.
 
     spans lists all spans as kind:begin:end (code points, end exclusive) by begin, then kind;
     base_sha256 is the digest of the base ones listed likewise. Null and empty texts have none.
@@ -184,17 +199,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = rows.select(
         "doc_id",
         F.array_sort(F.transform(base, lambda x: F.struct(x["b"], x["k"], x["e"]))).alias("base"),
-        F.flatten(F.transform(_spans(F.col("t"), RUN, 3), _tokens)).alias("runs"),
-    )
+        _spans(F.col("t"), RUN, 3).alias("all"),
+    ).select("doc_id", "base", F.flatten(F.transform("all", _tokens)).alias("runs"), F.filter("all", lambda x: ~F.rlike(x["m"], F.lit("[0-9]"))).alias("names"))
     apart = F.filter("runs", lambda x: ~F.exists("base", lambda y: (y["b"] < x["e"]) & (x["b"] < y["e"])))
     judged = F.filter(F.transform(apart, lambda x: F.struct(x["b"], x["k"], x["e"], _battery(x["m"]).alias("t"))), lambda x: x["t"].isNotNull())
-    kept = cut(found.select("doc_id", "base", judged.alias("runs")))
+    wordy = F.filter(F.transform("names", lambda x: _battery(F.regexp_replace(x["m"], "[^A-Za-z]", ""), NAMES)), lambda x: x.isNotNull())
+    kept = cut(found.select("doc_id", "base", judged.alias("runs"), wordy.alias("names")))
     counts = kept.select(F.explode("runs").alias("x")).groupBy("x.t.encoding", "x.t.band", "x.t.step").count().collect()
-    strictest = _thresholds([(r["encoding"], r["band"], r["step"], r["count"]) for r in counts])
+    names = kept.select(F.explode("names").alias("x")).groupBy("x.band", "x.step").count().collect()
+    strictest = _thresholds([(r["encoding"], r["band"], r["step"], r["count"]) for r in counts], [(r["band"], r["step"], r["count"]) for r in names])
     limit = F.create_map(*[F.lit(y) for (e, b), s in sorted(strictest.items()) for y in (f"{e}:{b}", s)]) if strictest else F.create_map().cast("map<string,int>")
-    random = F.filter(
-        "runs", lambda x: (x["t"]["bits"] >= LEAST_BITS) & (x["t"]["step"] < F.coalesce(limit[F.concat_ws(":", x["t"]["encoding"], x["t"]["band"].cast("string"))], F.lit(STEPS + 1)))
-    )
+    random = F.filter("runs", lambda x: x["t"]["step"] <= F.coalesce(limit[F.concat_ws(":", x["t"]["encoding"], x["t"]["band"].cast("string"))], F.lit(-1)))
     names = F.array(*[F.lit(k) for k in ("assign", "access", "hex", "random")])
     write = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["k"]], x["b"].cast("string"), x["e"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
@@ -209,19 +224,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def _thresholds(counts: list[tuple[str, int, int, int]]) -> dict[tuple[str, int], int]:
-    """The step of -ln(p) from which a run isn't random, by encoding and band: the least one where
-    exp(-step) <= rate * (runs at or beyond it) / (all runs); none such: nothing is rejected."""
-    import math
+def _thresholds(counts: list[tuple[str, int, int, int]], names: list[tuple[int, int, int]]) -> dict[tuple[str, int], int]:
+    """The greatest step of -ln(p) up to which a run is reported, by encoding and band (none: no key).
 
+    counts: (encoding, band, step, runs); names: (band, step, names). A run's p-value is (1 + names
+    of its band with as low a step) / (1 + names of its band); the step-up takes the greatest step
+    whose p-value is at most ``FALSE_DISCOVERIES`` * (runs up to it) / (all runs).
+    """
+    usual: dict[int, dict[int, int]] = {}
+    for band, step, n in names:
+        usual.setdefault(band, {})[step] = n
     cells: dict[tuple[str, int], dict[int, int]] = {}
     for encoding, band, step, n in counts:
         cells.setdefault((encoding, band), {})[step] = n
     out = {}
     for cell, hist in cells.items():
-        total, beyond = sum(hist.values()), 0
-        for step in range(STEPS, -1, -1):
-            beyond += hist.get(step, 0)
-            if beyond and math.exp(-step * STEP) <= FALSE_DISCOVERIES * beyond / total:
+        known = usual.get(cell[1], {})
+        total, all_names, taken, alike = sum(hist.values()), sum(known.values()) + PRIOR_NAMES, 0, 0
+        for step in range(STEPS + 1):
+            taken += hist.get(step, 0)
+            alike += known.get(step, 0) + (PRIOR_NAMES if step == PRIOR_STEP else 0)
+            if taken and (1 + alike) / (1 + all_names) <= FALSE_DISCOVERIES * taken / total:
                 out[cell] = step
     return out

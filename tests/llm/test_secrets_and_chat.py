@@ -1,8 +1,11 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from strandline.llm import chat, secrets
 
 ASSIGN = re.compile(secrets.ASSIGN, re.A)
@@ -68,10 +71,67 @@ def test_tokens_behind_names_and_foreign_separators(spark):
 
 
 def test_thresholds():
-    assert secrets._thresholds([]) == {}
-    assert ("hex", 3) not in secrets._thresholds([("hex", 3, 0, 10)])
-    t = secrets._thresholds([("hex", 3, 0, 95), ("hex", 3, 400, 5)])
-    assert 0 < t["hex", 3] <= 400
+    assert secrets._thresholds([], []) == {}
+    # Runs that all look random are taken, up to where names begin.
+    assert 0 < secrets._thresholds([("hex", 3, s, 10) for s in range(0, 60, 5)], [(3, 200, 5000)])["hex", 3] < 200
+    # One that looks random among many that don't is not, with few names to go by.
+    assert ("hex", 3) not in secrets._thresholds([("hex", 3, 0, 1), ("hex", 3, 400, 99)], [(3, 300, 50)])
+    # The same with names enough to tell.
+    assert secrets._thresholds([("hex", 3, 0, 1), ("hex", 3, 400, 99)], [(3, 300, 5000)])["hex", 3] < 300
+    # Short names that look random themselves keep runs back.
+    assert ("hex", 2) not in secrets._thresholds([("hex", 2, 10, 50), ("hex", 2, 90, 50)], [(2, s, 100) for s in range(100)])
+
+
+def brute_step(token, alphabet):
+    """-ln p by the three tests, written out."""
+    v = [alphabet.index(c) for c in token]
+    n, size = len(v), len(alphabet)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum((v.count(i) - n / size) ** 2 / (n / size) for i in range(size))
+    p = [tail((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n))]
+    high = [x >= size / 2 for x in v]
+    n1 = sum(high)
+    runs, mean = 1 + sum(a != b for a, b in zip(high, high[1:])), 2 * n1 * (n - n1) / n + 1
+    p.append(min(1, 2 * tail(abs(runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)))))
+    c = (size - 1) / 2
+    serial = sum((a - c) * (b - c) for a, b in zip(v, v[1:])) / ((size * size - 1) / 12)
+    p.append(min(1, 2 * tail(abs(serial) / math.sqrt(n - 1))))
+    f = -sum(math.log(x) for x in p)
+    return min(max(f - math.log(1 + f + f * f / 2), 0) / secrets.STEP, secrets.STEPS)
+
+
+def test_battery_against_brute_force(spark):
+    r = random.Random(7)
+    rows = []
+    for name, _, alphabet in secrets.ENCODINGS:
+        for n in (24, 40, 64, 150):
+            rows.append((name, alphabet, "".join(r.choice(alphabet) for _ in range(n))))
+            rows.append((name, alphabet, "".join(r.choice(alphabet[: len(alphabet) // 2 + 3]) for _ in range(n))))
+    got = spark.createDataFrame([(t,) for _, _, t in rows], "t string").select("t", secrets._battery(F.col("t")).alias("x")).collect()
+    seen = 0
+    for (name, alphabet, token), x in zip(rows, got):
+        if x.x is not None and x.x.encoding == name:
+            seen += 1
+            assert abs(x.x.step - brute_step(token, alphabet)) <= 1.01, (name, token)
+            assert x.x.band == min(len(token) // secrets.BAND, secrets.BANDS)
+    assert seen > 0.6 * len(rows)
+
+
+def test_names_keep_look_alikes_back(spark):
+    """Where names of a length pass for random, runs of that length aren't reported; long ones are."""
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, "".join(r.choice(letters) for _ in range(22))) for i in range(300)]
+    rows += [(300 + i, "x " + "".join(r.choice(letters + "0123456789") for _ in range(22))) for i in range(100)]
+    rows += [(400 + i, "x " + "".join(r.choice(letters + "0123456789") for _ in range(44))) for i in range(100)]
+    out = {x.doc_id: x.n_random for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[i] for i in range(300, 400)) == 0 and sum(out[i] for i in range(400, 500)) > 70
+
+
+def test_many_matches_in_one_text(spark):
+    text = "secret: abcdefghijkl " * 20_000
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_assign == 20_000 and got.base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
 
 
 def turns(spark, rows):
@@ -97,3 +157,24 @@ def test_preferences(spark):
     assert chat.neighbours(turns(spark, [])).count() == 0
     plan = chat.neighbours(turns(spark, rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_preferences_of_large_and_odd_ids(spark):
+    big = 2**62
+    rows = [(big + 2, 0, "user", "a"), (big + 3, 0, "user", "b"), (big + 4, 0, "user", "c"), (big + 6, 0, "user", "d"), (-1, 0, "user", "e"), (-2, 0, "user", "f")]
+    df = turns(spark, rows)
+    for c in ("at", "turns", "pair_id", "c", "r", "odd", "head"):
+        df = df.withColumn(c, F.lit("other"))
+    out = {r.pair_id: r for r in chat.neighbours(df).collect()}
+    assert sorted(out) == [-1, big // 2 + 1, big // 2 + 2, big // 2 + 3]
+    assert "a" in out[big // 2 + 1].chosen and "b" in out[big // 2 + 1].rejected and "f" in out[-1].chosen and out[big // 2 + 2].rejected is None
+
+
+def test_preferences_of_long_and_repeated_turns(spark):
+    many = [(0, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(4000)] + [(1, i, ("user", "assistant")[i % 2], f"t{i}" if i < 3999 else "other") for i in range(4000)]
+    twice = [(2, 0, "assistant", "x"), (2, 0, "assistant", "x"), (3, 0, "assistant", "y" * 300_000)]
+    out = {r.pair_id: r for r in chat.neighbours(turns(spark, many + twice)).collect()}
+    assert out[0].prompt_turns == 3999 and out[0].chosen == "<|assistant|>\nt3999<|end|>\n" and out[0].chosen_mask == "14:27"
+    assert out[1].chosen == "<|assistant|>\nx<|end|>\n" * 2 and out[1].chosen_mask == "14:23,37:46"
+    a, b = map(int, out[1].rejected_mask.split(":"))
+    assert out[1].rejected[a:b] == "y" * 300_000 + "<|end|>\n"
