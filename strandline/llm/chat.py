@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the template: <|role|>\n text <|end|>\n. The mark "<|" in a role or a text is
@@ -12,7 +12,8 @@ TRAINED_ROLE = "assistant"
 
 
 def _turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """One row for each conversation: its turns as (role, text, head, full) in order, rendered."""
+    """One row for each conversation: its turns as (role, text, head, body) in order, rendered, with
+    the place ``at`` where each begins in the rendered conversation."""
     safe = lambda c, other: F.replace(F.coalesce(F.col(c).cast("string"), F.lit(other)), F.lit("<|"), F.lit("<\\|"))
     t = conversations.select(
         F.col(conv_col).cast("long").alias("conv"),
@@ -22,8 +23,12 @@ def _turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str
         F.concat(F.lit(ROLE_OPEN), safe(role_col, "unknown"), F.lit(ROLE_CLOSE)).alias("head"),
         F.concat(safe(text_col, ""), F.lit(TURN_CLOSE)).alias("body"),
     ).where("conv IS NOT NULL")
-    listed = F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text", "head", "body")))
-    return t.groupBy("conv").agg(listed.alias("turns"))
+    # Places are sums over the turns before; turns that are equal in all render alike, so any order of them will do.
+    size = (F.char_length("head") + F.char_length("body")).cast("long")
+    before = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_last(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = t.withColumn("at", F.sum(size).over(before) - size)
+    listed = F.array_sort(F.collect_list(F.struct("at", "role", "text", "head", "body")))
+    return placed.groupBy("conv").agg(listed.alias("turns"))
 
 
 def _render(turns: Column) -> Column:
@@ -33,16 +38,13 @@ def _render(turns: Column) -> Column:
 def _mask(turns: Column) -> Column:
     """"begin:end" of the text that is trained on, in code points of the rendered turns: what a
     trained role says, with the mark that ends its turn. Everything else is masked."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
-    size = lambda x, f: F.char_length(x[f]).cast("long")
+    trained = F.filter(turns, lambda x: x["role"] == TRAINED_ROLE)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + size(x, "head")
-        end = begin + size(x, "body")
-        own = F.concat_ws(":", begin.cast("string"), end.cast("string"))
-        return F.struct(end.alias("at"), F.when(x["role"] == TRAINED_ROLE, F.concat(acc["spans"], F.array(own))).otherwise(acc["spans"]).alias("spans"))
+    def span(x: Column) -> Column:
+        begin = x["at"] - turns[0]["at"] + F.char_length(x["head"])
+        return F.concat_ws(":", begin.cast("string"), (begin + F.char_length(x["body"])).cast("string"))
 
-    return F.aggregate(turns, start, step, lambda acc: F.array_join(acc["spans"], ","))
+    return F.array_join(F.transform(trained, span), ",")
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -56,7 +58,11 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     A side that is missing has a null completion and mask, and then the other one's turns up to
     its last trained turn are the prompt. Equal conversations have empty completions.
     """
-    both = chosen.select("pair_id", F.col("turns").alias("c")).join(rejected.select("pair_id", F.col("turns").alias("r")), "pair_id", "full_outer")
+    return format_pairs(chosen.select("pair_id", F.col("turns").alias("c")).join(rejected.select("pair_id", F.col("turns").alias("r")), "pair_id", "full_outer"))
+
+
+def format_pairs(both: DataFrame) -> DataFrame:
+    """``format_preferences`` of pairs that are together already: pair_id and the turns c and r."""
     short = F.least(F.size("c"), F.size("r"))
     same = F.zip_with("c", "r", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     differ = F.array_position(same, False).cast("int")
@@ -91,12 +97,9 @@ def conversation_turns(conversations: DataFrame, conv_col: str = "conv_id", turn
 def neighbours(conversations: DataFrame, **columns: str) -> DataFrame:
     """Preferences of a table of conversations without verdicts: conversations 2n and 2n + 1 are
     chosen and rejected of pair n. Ids pair by arithmetic, so no popular opening meets in a task."""
-    t = conversation_turns(conversations, **columns).withColumn("pair_id", F.floor(F.col("conv") / 2).cast("long")).withColumn("odd", F.pmod(F.col("conv"), F.lit(2)) == 1)
+    t = conversation_turns(conversations, **columns).withColumn("pair_id", F.shiftright("conv", 1)).withColumn("odd", F.col("conv").bitwiseAND(F.lit(1)) == 1)
     # One aggregate brings both sides of a pair together.
-    pair = t.groupBy("pair_id").agg(
-        F.max_by("turns", F.when(~F.col("odd"), 1)).alias("c"), F.max_by("turns", F.when(F.col("odd"), 1)).alias("r")
-    )
-    return format_preferences(pair.where("c IS NOT NULL").select("pair_id", F.col("c").alias("turns")), pair.where("r IS NOT NULL").select("pair_id", F.col("r").alias("turns")))
+    return format_pairs(t.groupBy("pair_id").agg(F.max_by("turns", F.when(~F.col("odd"), 1)).alias("c"), F.max_by("turns", F.when(F.col("odd"), 1)).alias("r")))
 
 
 _SQL_TURNS = """list_transform({t}, lambda x: '<|' || replace(x.role, '<|', '<\\|') || '|>' || chr(10) || replace(x.text, '<|', '<\\|') || '<|end|>' || chr(10))"""
