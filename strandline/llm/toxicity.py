@@ -172,7 +172,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("l_id"), "l_id").limit(TRAIN_DOCUMENTS)
     )
     bags = rows.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).select("y", "text").mapInArrow(_bags, "y int, bag array<long>")
-    fitted = bags.coalesce(1).mapInArrow(_train, "feature long, weight double").toPandas()
+    # The bags alone meet in one task, ``TRAIN_DOCUMENTS`` of them; the documents stay where they are.
+    fitted = bags.repartition(1).mapInArrow(_train, "feature long, weight double").toPandas()
     leak = fitted.loc[fitted["feature"] == -1, "weight"]
     at = fitted[fitted["feature"] >= 0]
     model = sc.broadcast((at["feature"].to_numpy(np.int64), at["weight"].to_numpy(np.float64), float(leak.iloc[0]) if len(leak) else 0.05))
