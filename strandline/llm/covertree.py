@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, release
@@ -20,8 +20,13 @@ UPPER_NODES = 64
 LEAF, DENSE_PAIRS = 24, 1 << 20
 #: Distances are taken as uncertain by this much when whole nodes are ruled out or in.
 SLACK = 1e-9
-#: A cosine in single precision may be off by this much; it only rules pairs out.
-ROUGH = 1e-5
+
+
+def rough(dim: int) -> float:
+    """How far a cosine of two rounded unit vectors of so many numbers may be off in single
+    precision, in whatever order it is summed; such cosines only rule pairs out."""
+    unit = 2.0**-24
+    return 1.01 * (dim + 4) * unit / (1 - (dim + 4) * unit)
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -216,7 +221,7 @@ def traverse(s: Tree, t: Tree, base: int, links: Links, same: bool) -> None:
                 stack += [(u, w, False) for u in (p[lone_p], p[~lone_p]) for w in (q[lone_q], q[~lone_q]) if len(u) and len(w)]
             continue
         wide = min(2.0, reach + float(s.radius[p].max()) + float(t.radius[q].max()))
-        i, j = np.nonzero(s.rough[s.centre[p]] @ t.rough[t.centre[q]].T >= np.float32(1 - wide * wide / 2 - ROUGH))
+        i, j = np.nonzero(s.rough[s.centre[p]] @ t.rough[t.centre[q]].T >= np.float32(1 - wide * wide / 2 - rough(s.x.shape[1])))
         if one_set:
             i, j = i[i <= j], j[i <= j]
         if not len(i):
@@ -282,19 +287,18 @@ def _join(cosine: float) -> object:
     return run
 
 
-def _valid(dim: int) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                x = None
-                if v is not None and len(v) == dim and None not in v:
-                    x = np.array(v, np.float64)
-                    x = x / np.abs(x).max() if np.isfinite(x).all() and x.any() else None
-                out.append(None if x is None else x.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["vec_id", "row", "v"])
-
-    return run
+def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors that have a direction, as bytes of numbers of at most 1."""
+    for batch in batches:
+        out = []
+        for v in batch.column(1).to_pylist():
+            x = None
+            if v and None not in v:
+                x = np.array(v, np.float64)
+                x = x / np.abs(x).max() if np.isfinite(x).all() and x.any() else None
+            out.append(None if x is None else x.tobytes())
+        size = [None if x is None else len(x) // 8 for x in out]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary()), pa.array(size, pa.int32())], names=["vec_id", "row", "v", "dim"])
 
 
 def _assign(centres: np.ndarray) -> object:
@@ -321,18 +325,37 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     many vectors are alike. Each pair of blocks left is one task, which builds cover trees with
     halving radii over both and traverses them together.
 
-    Vectors that are null, zero, of another length than most, or that hold null or non-finite
-    numbers link with nothing. A null id is its own component (null). Rows that repeat an id are
-    vectors of their own. An empty table gives no rows; other columns are not looked at.
+    Vectors that are null, empty, zero, or that hold null or non-finite numbers link with
+    nothing; vectors of different lengths don't link, each length is searched by itself. A null id
+    is its own component (null). Rows that repeat an id are vectors of their own. An empty table gives no rows; other columns are not looked at.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x")).withColumn("row", F.monotonically_increasing_id())
-    usual = rows.where("x IS NOT NULL").groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    own = cut(rows.select("vec_id", "x", "row").mapInArrow(_valid(usual[0]["n"] if usual else 0), "vec_id long, row long, v binary"))
-    valid = own.where("v IS NOT NULL").select("row", "v")
-    n = valid.count()
-    if not n:
-        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    own = cut(rows.select("vec_id", "x", "row").mapInArrow(_valid, "vec_id long, row long, v binary, dim int"))
+    # Each length is a space of its own; those that fill no block take a task each, all together.
+    size = own.where("v IS NOT NULL").groupBy("dim").count()
+    few = F.broadcast(size.where(F.col("count") > BLOCK).select("dim"))
+    small = own.where("v IS NOT NULL").join(few, "dim", "left_anti").select(F.col("dim").alias("task"), "row", "v", F.lit(True).alias("first"), F.lit(True).alias("same"))
+    found = small.groupBy("task").applyInArrow(_join(cosine), "row long, links long, root long")
+    for r in size.where(F.col("count") > BLOCK).orderBy("dim").collect():
+        found = found.unionByName(_found(spark, own.where((F.col("dim") == r["dim"]) & F.col("v").isNotNull()).select("row", "v"), r["count"], cosine))
+    found = cut(found)
+    release(spark)
+    links = found.groupBy("row").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
+    named = groups.join(own.select(F.col("row").alias("node"), "vec_id"), "node")
+    least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    ids = named.join(least, "component").select(F.col("node").alias("row"), "component_id")
+    return (
+        own.select("vec_id", "row").join(links, "row", "left").join(ids, "row", "left")
+        .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    )
+
+
+def _found(spark: SparkSession, valid: DataFrame, n: int, cosine: float) -> DataFrame:
+    """row, links, root of the vectors of one length: how many links a task found, and a row that
+    the vector is connected with."""
     k = int(min(UPPER_NODES, max(1, -(-n // BLOCK))))
     part = min(1.0, 128 * k / n)  # a share by hash that holds about 128 a node
     some = valid.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(part * (1 << 30))).select("v").distinct()
@@ -360,18 +383,7 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
         F.when(inside, F.col("block") == F.col("task.i")).otherwise(F.col("left")).alias("first"),
         (inside & (F.col("task.i") == F.col("task.j"))).alias("same"),
     )
-    found = cut(dealt.groupBy("task").applyInArrow(_join(cosine), "row long, links long, root long"))
-    release(spark)
-    links = found.groupBy("row").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
-    named = groups.join(own.select(F.col("row").alias("node"), "vec_id"), "node")
-    least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    ids = named.join(least, "component").select(F.col("node").alias("row"), "component_id")
-    return (
-        own.select("vec_id", "row").join(links, "row", "left").join(ids, "row", "left")
-        .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-    )
+    return dealt.groupBy("task").applyInArrow(_join(cosine), "row long, links long, root long")
 
 
 def _spread(x: np.ndarray, k: int) -> list[int]:
