@@ -18,6 +18,8 @@ BYTE_LOG = -16.0
 _SPACE = 0x2581
 #: The space mark itself, where a text has it: it has no piece and is written in bytes.
 _MARK = 0x110000
+#: Random numbers have so many bits; thresholds are whole numbers of as many.
+_BITS = 36
 
 
 def _weights(n: int) -> np.ndarray:
@@ -142,12 +144,16 @@ class Lattice:
             alpha[d[new]] = np.logaddexp.reduceat(joint[own], new)
         p = np.exp(joint - alpha[dst])
         new = np.concatenate([[True], dst[1:] != dst[:-1]]) if len(dst) else np.empty(0, bool)
-        group = np.cumsum(new) - 1
-        run = np.cumsum(p)
-        base = (run - p)[new]
-        self.upto = np.minimum(run - base[group], 1.0) + dst
-        last = np.append(np.flatnonzero(new)[1:] - 1, len(dst) - 1) if len(dst) else np.empty(0, np.int64)
-        self.upto[last] = dst[last] + 1.0
+        # Sums within each node, so that a word's thresholds are the same in every chunk.
+        begin = np.flatnonzero(new)
+        turn = np.arange(len(dst)) - np.repeat(begin, np.diff(np.append(begin, len(dst))))
+        by = np.argsort(turn, kind="stable")
+        edge = np.cumsum(np.bincount(turn)) if len(turn) else np.empty(0, np.int64)
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            p[by[lo:hi]] += p[by[lo:hi] - 1]
+        self.upto = np.minimum((p * (1 << _BITS)).astype(np.int64), 1 << _BITS)
+        self.upto[np.append(begin[1:] - 1, len(dst) - 1) if len(dst) else begin] = 1 << _BITS
+        self.upto += dst << _BITS
 
     def sample(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges of all occurrences in order of the text, number of edges of each occurrence)."""
@@ -157,8 +163,8 @@ class Lattice:
         steps = []
         while len(active):
             t = np.uint64(((len(steps) + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-            u = (mix64(key[active] + t) >> np.uint64(12)).astype(np.float64) * 2.0**-52
-            edge = np.minimum(np.searchsorted(self.upto, node + u, side="right"), len(self.upto) - 1)
+            u = (mix64(key[active] + t) >> np.uint64(64 - _BITS)).astype(np.int64)
+            edge = np.searchsorted(self.upto, (node << _BITS) + u, side="right")
             steps.append((active, edge))
             count[active] += 1
             node = self.src[edge]
@@ -286,7 +292,11 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, alpha: float = 1.0,
 
 
 def decode(encoded: DataFrame, model_file: str = DEFAULT_MODEL, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with a column ``text``: the text its ids spell; null ids spell null."""
+    """``encoded`` with a column ``text``: the text its ids spell; a null list spells null.
+
+    Null elements and ids that the vocabulary doesn't have spell nothing; bytes that form no
+    character spell U+FFFD. An empty table gives no rows; other columns stay, but one named text.
+    """
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
     fields = [f for f in encoded.schema.fields if f.name != "text"]
 
@@ -295,10 +305,12 @@ def decode(encoded: DataFrame, model_file: str = DEFAULT_MODEL, ids_col: str = "
         for batch in batches:
             lists = batch.column(ids_col).to_pylist()
             counts = np.array([len(x or ()) for x in lists], np.int64)
-            flat = np.fromiter((i for x in lists for i in x or ()), np.int32, int(counts.sum()))
-            raw, size = spell(v, flat, counts)
+            flat = np.fromiter((-1 if i is None else i for x in lists for i in x or ()), np.int64, int(counts.sum()))
+            known = (flat >= 0) & (flat < len(v.length))
+            counts = np.bincount(np.repeat(np.arange(len(lists)), counts)[known], minlength=len(lists))
+            raw, size = spell(v, flat[known], counts)
             text, edge = raw.tobytes(), np.cumsum(size)
-            own = [None if x is None else text[e - n : e].decode() for x, e, n in zip(lists, edge.tolist(), size.tolist(), strict=True)]
+            own = [None if x is None else text[e - n : e].decode(errors="replace") for x, e, n in zip(lists, edge.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(own, pa.string())], names=[*(f.name for f in fields), "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
