@@ -16,7 +16,7 @@ from .common import crc32_mod, cut
 HEAD_WORDS = 1 << 18
 #: Classes, and the most frequent words that exchange clustering deals into them, at least: both
 #: grow with the vocabulary (``_sizes``). All other words are placed by their neighbours.
-CLUSTERED_WORDS, CLUSTERS = 512, 64
+CLUSTERED_WORDS, CLUSTERS = 1024, 64
 SMOOTH = 0.1
 SWEEPS = 12
 _END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -94,9 +94,9 @@ def _cells(total: np.ndarray) -> pa.RecordBatch:
 
 
 def _grid(cells: DataFrame, size: int) -> np.ndarray:
-    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     grid = np.zeros(size * size)
-    grid[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    grid[found["cell"].to_numpy()] = found["n"].to_numpy()
     return grid.reshape(size, size)
 
 

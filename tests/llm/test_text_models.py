@@ -349,3 +349,21 @@ def test_piece_ids_agree_with_the_library(spark, corpus):
     rows = pieces.encode(spark.read.parquet(f"{corpus}/documents.parquet")).collect()
     texts = dict(zip(*[c.to_pylist() for c in pq.read_table(f"{corpus}/documents.parquet").select(["doc_id", "text"]).columns]))
     assert all(sp.decode(list(r.ids)) == texts[r.doc_id] for r in rows if not texts[r.doc_id].startswith(" "))
+
+
+def test_decode_odd_ids(spark):
+    rows = [(1, [400, 500]), (2, [400, None, 500, -3, 10**8]), (3, None), (4, []), (5, [3 + 0xC3])]
+    got = {r.doc_id: r.text for r in pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumn("text", F.lit("old"))).collect()}
+    assert got[1] == got[2] and got[3] is None and got[4] == "" and got[5] == "\ufffd"
+
+
+def test_samples_do_not_hang_on_neighbours(spark, corpus):
+    """A text gets the same pieces alone as among others."""
+    v = pieces.Vocabulary(pieces.DEFAULT_MODEL)
+    texts = [t or "" for t in pq.read_table(f"{corpus}/documents.parquet")["text"].to_pylist()[:60]]
+    keys = np.arange(60, dtype=np.uint64)
+    ids, counts = pieces.segment(v, texts, keys)
+    edge = np.cumsum(counts)
+    for i in range(0, 60, 7):
+        alone, n = pieces.segment(v, texts[i : i + 1], keys[i : i + 1])
+        assert n[0] == counts[i] and (alone == ids[edge[i] - n[0] : edge[i]]).all()
