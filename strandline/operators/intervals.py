@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Each level's bins are so many times as wide as those of the level below.
 WIDENING, LEVELS = 32, 5
 
@@ -64,10 +66,13 @@ def islands(df: DataFrame, keys: Sequence[str], begin: str = "beg", end: str = "
 
 
 def covered_length(queries: DataFrame, merged: DataFrame, on: Sequence[str], q: tuple[str, str], m: tuple[str, str] = ("beg", "end"), width: int = 128) -> DataFrame:
-    """Columns of ``queries`` and ``covered``: the length of each that merged intervals cover."""
+    """Columns of ``queries`` and ``covered``: the length of each row that merged intervals cover, 0
+    where none does. Rows that repeat count each."""
     lo, hi = m
-    hit = overlap_join(queries.withColumn("_q", F.monotonically_increasing_id()), merged.select(*on, F.col(lo).alias("_mb"), F.col(hi).alias("_me")), on, q, ("_mb", "_me"), width)
-    return hit.groupBy(*queries.columns).agg(F.sum(F.least(q[1], "_me") - F.greatest(q[0], "_mb")).cast("long").alias("covered"))
+    numbered = cut(queries.withColumn("_q", F.monotonically_increasing_id()))
+    hit = overlap_join(numbered.select("_q", *on, *q), merged.select(*on, F.col(lo).alias("_mb"), F.col(hi).alias("_me")), on, q, ("_mb", "_me"), width)
+    sums = hit.groupBy("_q").agg(F.sum(F.least(q[1], "_me") - F.greatest(q[0], "_mb")).alias("covered"))
+    return numbered.join(sums, "_q", "left").select(*queries.columns, F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
 
 
 def coverage_runs(df: DataFrame, keys: Sequence[str], begin: str = "beg", end: str = "end") -> DataFrame:
@@ -85,6 +90,17 @@ def coverage_runs(df: DataFrame, keys: Sequence[str], begin: str = "beg", end: s
     )
 
 
+def all_runs(runs: DataFrame, sizes: DataFrame, keys: Sequence[str], length: str) -> DataFrame:
+    """Runs of equal depth (as ``coverage_runs`` gives them, inside 0 to ``length``) with those of
+    depth 0 between them: keys, beg, end, depth; every place of each key in ``sizes`` is in one."""
+    ends = runs.select(*keys, F.col("end").alias("_at")).unionByName(sizes.where(F.col(length) > 0).select(*keys, F.lit(0).cast("long").alias("_at")))
+    begins = runs.select(*keys, F.col("beg").alias("_to")).unionByName(sizes.where(F.col(length) > 0).select(*keys, F.col(length).alias("_to")))
+    n = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c))
+    # Sorted ends and begins pair up: each gap lies between one run's end and the next one's begin.
+    gaps = ends.withColumn("_n", n("_at")).join(begins.withColumn("_n", n("_to")), [*keys, "_n"]).where("_at < _to")
+    return runs.select(*keys, "beg", "end", "depth").unionByName(gaps.select(*keys, F.col("_at").alias("beg"), F.col("_to").alias("end"), F.lit(0).cast("long").alias("depth")))
+
+
 def run_lengths(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str) -> DataFrame:
     """Runs of one value in the order of ``order_by``: keys, run, value, n."""
     order = Window.partitionBy(*keys).orderBy(*order_by)

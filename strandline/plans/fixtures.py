@@ -137,13 +137,33 @@ cops AS (
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, seq: what letters A, C, G, T documents hold."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    """name, seq: what letters A, C, G, T documents hold, and N, an unknown base, for each K."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.regexp_replace(F.translate(F.upper("text"), "NK", "_N"), "[^ACGTN]", "").alias("seq"))
 
 
-SEQUENCES_SQL = "seqs AS (SELECT doc_id AS name, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
-BENCH_SEQUENCES_SQL = "bseqs AS (SELECT item_id AS name, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark)"
+SEQUENCES_SQL = "seqs AS (SELECT doc_id AS name, regexp_replace(translate(upper(text), 'NK', '_N'), '[^ACGTN]', '', 'g') AS seq FROM documents)"
+BENCH_SEQUENCES_SQL = "bseqs AS (SELECT item_id AS name, regexp_replace(translate(upper(text), 'NK', '_N'), '[^ACGTN]', '', 'g') AS seq FROM benchmark)"
 
 
 def benchmark_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name"), F.regexp_replace(F.translate(F.upper("text"), "NK", "_N"), "[^ACGTN]", "").alias("seq"))
+
+
+def ladder_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v, w: chains of orders with places where two ways part and meet again: a diamond, then a way
+    round two orders, every eight orders."""
+    o = table(spark, sf_dir, "orders")
+    v = F.col("o_orderkey") * 2 + (F.col("o_orderstatus") == "F").cast("long")
+    order = Window.partitionBy(F.col("o_custkey") % 97).orderBy("o_orderdate", "o_orderkey")
+    at = o.select(v.alias("v"), ((F.row_number().over(order) - 1) % 8).alias("r"), *[F.lead(v, n).over(order).alias(f"w{n}") for n in (1, 2, 3)])
+    ahead = F.when(F.col("r") == 0, F.array("w1", "w2")).when(F.col("r") == 1, F.array("w2")).when(F.col("r") == 3, F.array("w1", "w3")).otherwise(F.array("w1"))
+    return at.select("v", F.explode(ahead).alias("w")).where("w IS NOT NULL")
+
+
+LADDER_SQL = """
+ladder AS (
+  SELECT v, w FROM (
+    SELECT v, unnest(CASE r WHEN 0 THEN [w1, w2] WHEN 1 THEN [w2] WHEN 3 THEN [w1, w3] ELSE [w1] END) AS w FROM (
+      SELECT v, (row_number() OVER x - 1) % 8 AS r, lead(v) OVER x AS w1, lead(v, 2) OVER x AS w2, lead(v, 3) OVER x AS w3 FROM (
+        SELECT o_orderkey * 2 + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS v, o_custkey % 97 AS c, o_orderdate, o_orderkey FROM orders) WINDOW x AS (PARTITION BY c ORDER BY o_orderdate, o_orderkey)))
+  WHERE w IS NOT NULL)"""

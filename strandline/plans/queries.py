@@ -102,16 +102,15 @@ def lift_flank_pairs(spark: SparkSession, d: str) -> DataFrame:
     h = _direct(spark, d)
     l = h.select("ctg", F.col("beg").alias("l_win"), "hit_ctg", "hit_rev", F.col("qend").alias("lq"), F.col("hit_beg").alias("lb"), F.col("hit_end").alias("l_end"))  # noqa: E741
     r = h.select("ctg", F.col("beg").alias("r_win"), "hit_ctg", "hit_rev", F.col("qbeg").alias("rq"), F.col("hit_beg").alias("r_beg"), F.col("hit_end").alias("re"))
-    both = l.join(r, ["ctg", "hit_ctg", "hit_rev"]).where("r_win > l_win").withColumn("qgap", F.col("rq") - F.col("lq"))
-    gap = F.when(F.col("hit_rev"), F.col("lb") - F.col("re")).otherwise(F.col("r_beg") - F.col("l_end"))
-    return both.withColumn("tgap", gap).where("qgap >= 0 AND tgap >= 0 AND abs(tgap - qgap) <= 100").select("ctg", "l_win", "r_win", "hit_ctg", "hit_rev", "l_end", "r_beg", "qgap", "tgap")
+    both = lift.flank_pairs(l, r, ["ctg", "hit_ctg", "hit_rev"], "hit_rev", ("lq", "lb", "l_end"), ("rq", "r_beg", "re"), 100)
+    return both.where("r_win > l_win").select("ctg", "l_win", "r_win", "hit_ctg", "hit_rev", "l_end", "r_beg", "qgap", "tgap")
 
 
 _TWO = f"""WITH {fx._OP.strip()}, {fx._PS.strip()},
 m AS (
   SELECT a_ctg AS m_ctg, a_beg AS m_beg, a_end AS m_end, b_ctg AS t_ctg, b_beg AS t_beg, b_end AS t_end, rev FROM (FROM op UNION ALL FROM ps)
   UNION ALL SELECT b_ctg, b_beg, b_end, a_ctg, a_beg, a_end, rev FROM (FROM op UNION ALL FROM ps)),
-q AS (SELECT DISTINCT 'o' || o_orderkey AS ctg FROM orders WHERE o_orderkey % 5 = 0),
+q AS (SELECT DISTINCT 'o' || o_orderkey AS ctg FROM orders),
 h1 AS (
   SELECT q.ctg AS query, t_ctg AS ctg, CASE WHEN rev THEN t_end - (least(40, m_end) - m_beg) ELSE t_beg + greatest(10, m_beg) - m_beg END AS beg,
          CASE WHEN rev THEN t_end - (greatest(10, m_beg) - m_beg) ELSE t_beg + least(40, m_end) - m_beg END AS "end", rev
@@ -135,7 +134,7 @@ def _two_hops(q: DataFrame, both: DataFrame) -> DataFrame:
 @query(_TWO)
 def lift_two_hop(spark: SparkSession, d: str) -> DataFrame:
     both = lift.both_ways(fx.order_part(spark, d).unionByName(fx.part_supplier(spark, d)))
-    q = fx.table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("query")).distinct()
+    q = fx.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("query")).distinct()
     return _two_hops(q, both)
 
 
@@ -147,10 +146,21 @@ def lift_multi_hop(spark: SparkSession, d: str) -> DataFrame:
     return lift.map_range(q.withColumn("beg", F.lit(10).cast("long")).withColumn("end", F.lit(40).cast("long")), records, max_hops=2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DIRECT.removeprefix("WITH ")},
+h AS (SELECT ctg AS query_id, hit_ctg AS ctg, hit_rev AS rev, hit_beg AS beg, hit_end AS "end", beg AS win FROM hits),
+f AS (SELECT * FROM h WHERE win % 240 = 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, ctg, rev ORDER BY "end" - beg DESC, ctg, beg, "end", win) AS n FROM h WHERE win % 240 <> 0),
+g AS (SELECT query_id, ctg, rev, list({{'b': beg, 'e': "end"}}) AS taken FROM f GROUP BY ALL),
+fold AS (
+  SELECT c.query_id, c.ctg, c.rev, 0::BIGINT AS n, coalesce(any_value(g.taken), []) AS taken, false AS kept FROM c LEFT JOIN g USING (query_id, ctg, rev) GROUP BY c.query_id, c.ctg, c.rev
+  UNION ALL
+  SELECT fold.query_id, fold.ctg, fold.rev, c.n, CASE WHEN len(list_filter(fold.taken, lambda x: x.b < c."end" AND c.beg < x.e)) = 0 THEN list_append(fold.taken, {{'b': c.beg, 'e': c."end"}}) ELSE fold.taken END,
+         len(list_filter(fold.taken, lambda x: x.b < c."end" AND c.beg < x.e)) = 0
+  FROM fold JOIN c ON c.query_id = fold.query_id AND c.ctg = fold.ctg AND c.rev = fold.rev AND c.n = fold.n + 1)
+SELECT query_id, ctg, rev, beg, "end", win FROM f UNION ALL SELECT c.* EXCLUDE n FROM c JOIN fold USING (query_id, ctg, rev, n) WHERE fold.kept""")
 def lift_dedup_fixed_candidate(spark: SparkSession, d: str) -> DataFrame:
     h = _direct(spark, d).select(F.col("ctg").alias("query_id"), F.col("hit_ctg").alias("ctg"), F.col("hit_rev").alias("rev"), F.col("hit_beg").alias("beg"), F.col("hit_end").alias("end"), F.col("beg").alias("win"))
-    return lift.keep_best(h.where("win % 240 = 0"), h.where("win % 240 <> 0"), [F.desc(F.col("end") - F.col("beg")), F.col("ctg"), F.col("beg"), F.col("end")])
+    return lift.keep_best(h.where("win % 240 = 0"), h.where("win % 240 <> 0"), [F.desc(F.col("end") - F.col("beg")), F.col("ctg"), F.col("beg"), F.col("end"), F.col("win")])
 
 
 @query(f"""WITH {fx._OP.strip()}
@@ -164,15 +174,16 @@ def bed_clean(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- interval unions, coverage, windows -----------------------------------------------------------
 
-_UNION = f"""WITH {fx._OP.strip()},
-x AS (SELECT b_ctg AS ctg, b_beg AS beg, b_end AS "end" FROM op WHERE b_beg % 4 <> 0),
+_UNION = f"""WITH {fx._OP.strip()}, {fx.PLACEMENTS_SQL.strip()},
+x AS (SELECT 'p' || part AS ctg, beg, "end" FROM placed),
 y AS (SELECT *, max("end") OVER (PARTITION BY ctg ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
 z AS (SELECT *, sum(CASE WHEN before IS NULL OR beg > before THEN 1 ELSE 0 END) OVER (PARTITION BY ctg ORDER BY beg, "end" ROWS UNBOUNDED PRECEDING) AS i FROM y),
 u AS (SELECT ctg, min(beg) AS beg, max("end") AS "end", count(*) AS n FROM z GROUP BY ctg, i)"""
 
 
-def _union(spark: SparkSession, d: str, rows: str = "b_beg % 4 <> 0") -> DataFrame:
-    r = fx.order_part(spark, d).where(rows).select(F.col("b_ctg").alias("ctg"), F.col("b_beg").alias("beg"), F.col("b_end").alias("end"))
+def _union(spark: SparkSession, d: str) -> DataFrame:
+    """Where lines lie on their part; what no line covers stays out."""
+    r = fx.placements(spark, d).select(F.concat(F.lit("p"), F.col("part").cast("string")).alias("ctg"), "beg", "end")
     return intervals.islands(r, ["ctg"])
 
 
@@ -181,12 +192,14 @@ def interval_union(spark: SparkSession, d: str) -> DataFrame:
     return _union(spark, d)
 
 
-@query(f"""{_UNION}, {fx._W.strip()}
-SELECT w.ctg, w.beg AS w_beg, w."end" AS w_end, sum(least(w."end", u."end") - greatest(w.beg, u.beg))::BIGINT AS covered
-FROM w JOIN u ON w.ctg = u.ctg AND w.beg < u."end" AND u.beg < w."end" GROUP BY ALL""")
+@query(f"""{_UNION}, {fx._W.strip()},
+q AS (SELECT *, row_number() OVER () AS i FROM (FROM w UNION ALL FROM w))
+SELECT q.ctg, q.beg AS w_beg, q."end" AS w_end, coalesce(sum(CASE WHEN u.ctg IS NOT NULL THEN least(q."end", u."end") - greatest(q.beg, u.beg) END), 0)::BIGINT AS covered
+FROM q LEFT JOIN u ON q.ctg = u.ctg AND q.beg < u."end" AND u.beg < q."end" GROUP BY q.i, q.ctg, q.beg, q."end" """)
 def overlap_length(spark: SparkSession, d: str) -> DataFrame:
+    """Every window twice: rows that repeat and rows that nothing covers count each."""
     w = fx.part_windows(fx.order_part(spark, d)).select("ctg", F.col("beg").alias("w_beg"), F.col("end").alias("w_end"))
-    return intervals.covered_length(w, _union(spark, d), ["ctg"], ("w_beg", "w_end"))
+    return intervals.covered_length(w.unionByName(w), _union(spark, d), ["ctg"], ("w_beg", "w_end"))
 
 
 _RUNS = f"""WITH {fx.PLACEMENTS_SQL.strip()},
@@ -312,10 +325,9 @@ def used_nodes_semi(spark: SparkSession, d: str) -> DataFrame:
     return graph.used_segments(fx.table(spark, d, "part").select(F.col("p_partkey").alias("seg_id")), fx.sparse_arcs(spark, d))
 
 
-@query(f"WITH {fx.SPARSE_SQL.strip()} SELECT o_custkey AS seg_id, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT v // 2 FROM sparse WHERE v % 4 = 0) AND o_custkey NOT IN (SELECT w // 2 FROM sparse WHERE v % 4 = 0) GROUP BY o_custkey")
+@query(f"WITH {fx.SPARSE_SQL.strip()} SELECT o_orderkey * 3 AS seg_id FROM orders WHERE o_orderkey * 3 NOT IN (SELECT v // 2 FROM sparse) AND o_orderkey * 3 NOT IN (SELECT w // 2 FROM sparse)")
 def unused_nodes_anti(spark: SparkSession, d: str) -> DataFrame:
-    segs = fx.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("seg_id")).agg(F.count(F.lit(1)).alias("n"))
-    return graph.unused_segments(segs, fx.sparse_arcs(spark, d).where("v % 4 = 0"))
+    return graph.unused_segments(fx.table(spark, d, "orders").select((F.col("o_orderkey") * 3).alias("seg_id")), fx.sparse_arcs(spark, d))
 
 
 _STARTS = "st AS (SELECT DISTINCT v FROM sparse WHERE v % 50 = 0)"
@@ -350,7 +362,15 @@ def simple_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.simple_paths(arcs, _starts(arcs), 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
-@query()
+_SYM = "sym AS (SELECT v, w FROM sparse UNION SELECT xor(w, 1), xor(v, 1) FROM sparse)"
+
+
+@query(f"""WITH RECURSIVE {fx.SPARSE_SQL.strip()}, {_SYM},
+real AS (SELECT DISTINCT v, w FROM sym WHERE v // 2 <> w // 2),
+link AS (SELECT v, w FROM real WHERE v IN (SELECT v FROM real GROUP BY v HAVING count(*) = 1) AND w IN (SELECT w FROM real GROUP BY w HAVING count(*) = 1)),
+walk AS (SELECT DISTINCT v AS head, 0::BIGINT AS pos, v FROM link WHERE v NOT IN (SELECT w FROM link) UNION ALL SELECT head, pos + 1, l.w FROM walk JOIN link l ON l.v = walk.v),
+ends AS (SELECT head, arg_max(v, pos) AS last FROM walk GROUP BY head)
+SELECT head, pos, v FROM walk JOIN ends USING (head) WHERE head <= xor(last, 1)""")
 def unitig_chains(spark: SparkSession, d: str) -> DataFrame:
     return graph.unitigs(graph.symmetrise(fx.sparse_arcs(spark, d)).select("v", "w"))
 
@@ -406,8 +426,9 @@ def revcomp(spark: SparkSession, d: str) -> DataFrame:
     return fx.sequences(spark, d).select("name", dna.revcomp(F.col("seq")).alias("revcomp"))
 
 
-_KMERS = lambda rel, k: f"""(SELECT name, pos, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer FROM (
-  SELECT name, i - 1 AS pos, substr(seq, i, {k}) AS k FROM (SELECT name, seq, unnest(range(1, len(seq) - {k} + 2)) AS i FROM {rel} WHERE len(seq) >= {k})))"""
+_KMERS = lambda rel, k: f"""(SELECT name, pos, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer, k > reverse(translate(k, 'ACGT', 'TGCA')) AS rev FROM (
+  SELECT name, i - 1 AS pos, substr(seq, i, {k}) AS k FROM (SELECT name, seq, unnest(range(1, len(seq) - {k} + 2)) AS i FROM {rel} WHERE len(seq) >= {k}))
+  WHERE NOT contains(k, 'N') AND k <> reverse(translate(k, 'ACGT', 'TGCA')))"""
 
 
 @query(f"WITH {fx.SEQUENCES_SQL} SELECT kmer, count(*) AS n, count(DISTINCT name) AS docs FROM {_KMERS('seqs', 8)} GROUP BY kmer")
@@ -438,24 +459,42 @@ def jaccard(spark: SparkSession, d: str) -> DataFrame:
     return c.select("l_name", "r_name", F.round(F.col("common") / (F.col("l_size") + F.col("r_size") - F.col("common")), 9).alias("jaccard"))
 
 
-@query(f"""WITH {fx.SEQUENCES_SQL}, k AS (SELECT * FROM {_KMERS('seqs', 11)}),
-m AS (SELECT name, pos, min({{'kmer': kmer, 'back': -pos}}) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS m FROM k)
-SELECT DISTINCT name, m.kmer AS kmer, (-m.back)::INTEGER AS pos FROM m WHERE pos >= 9""")
+_U64 = "18446744073709551616::UHUGEINT"
+
+
+def _minimizers_sql(rel: str, k: int, w: int) -> str:
+    """name, pos, key, rev: SplitMix64 of the 2-bit code, its least of the last w places, the later on
+    ties; N parts a sequence; what was told last isn't told again."""
+    code = " + ".join(f"(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}" for i in range(k))
+    return f"""(
+WITH k0 AS (SELECT name, pos, rev, ({code})::UBIGINT AS key, pos - len(replace(substr(seq, 1, pos), 'N', '')) AS run FROM {_KMERS(rel, k)} JOIN {rel} USING (name)),
+k1 AS (SELECT *, ((key::UHUGEINT + 11400714819323198485::UHUGEINT) % {_U64})::UBIGINT AS y FROM k0),
+k2 AS (SELECT * EXCLUDE y, ((xor(y, y >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % {_U64})::UBIGINT AS y FROM k1),
+k3 AS (SELECT * EXCLUDE y, ((xor(y, y >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % {_U64})::UBIGINT AS y FROM k2),
+k4 AS (SELECT * EXCLUDE y, xor(y, y >> 31) AS h FROM k3),
+m AS (SELECT name, pos, min({{'h': h, 'back': -pos, 'key': key, 'rev': rev}}) OVER (PARTITION BY name, run ORDER BY pos RANGE BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS m FROM k4),
+t AS (SELECT name, pos, m, lag(m.back) OVER (PARTITION BY name ORDER BY pos) AS last FROM m WHERE pos + {k} >= {w})
+SELECT name, (-m.back)::BIGINT AS pos, m.key::BIGINT AS key, m.rev AS rev FROM t WHERE last IS DISTINCT FROM m.back)"""
+
+
+@query(f"WITH {fx.SEQUENCES_SQL} SELECT * FROM {_minimizers_sql('seqs', 9, 14)}")
 def minimizers(spark: SparkSession, d: str) -> DataFrame:
-    return sketches.minimizers(fx.sequences(spark, d), 11, 10)
+    return sketches.minimizers(fx.sequences(spark, d), 9, 14)
 
 
 @query(f"""WITH {fx.BENCH_SEQUENCES_SQL}, k AS (SELECT * FROM {_KMERS('bseqs', 5)}), n AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer),
-l AS (SELECT quantile_cont(n, 0.9) + 1 AS l FROM n)
+o AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS m FROM n),
+l AS (SELECT max(n) + 1 AS l FROM o WHERE i = least(floor((1 - 0.1::DOUBLE) * m), m - 1))
 SELECT name, pos::INTEGER AS pos, kmer FROM k WHERE kmer IN (SELECT kmer FROM n, l WHERE n <= l)""")
 def high_occ_filter(spark: SparkSession, d: str) -> DataFrame:
     return sketches.high_occurrence(sketches.kmer_rows(fx.benchmark_sequences(spark, d), 5), "kmer", 0.1)
 
 
 @query(f"""WITH {fx.SEQUENCES_SQL}, n AS (SELECT kmer, count(*) AS n FROM {_KMERS('seqs', 11)} GROUP BY kmer)
-SELECT count(*) AS keys, count(*) FILTER (n = 1) AS singletons, sum(n)::BIGINT AS n_rows, round(avg(n), 9) AS avg_occurrence FROM n""")
+SELECT count(*) AS keys, count(*) FILTER (n = 1) AS singletons, sum(n)::BIGINT AS n_rows, round(avg(n), 9) AS avg_occurrence, round(1000000 / sum(n), 9) AS avg_spacing FROM n""")
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
-    return sketches.index_stats(sketches.kmer_rows(fx.sequences(spark, d), 11), "kmer").withColumn("avg_occurrence", F.round("avg_occurrence", 9))
+    s = sketches.index_stats(sketches.kmer_rows(fx.sequences(spark, d), 11), "kmer", 1_000_000)
+    return s.withColumn("avg_occurrence", F.round("avg_occurrence", 9)).withColumn("avg_spacing", F.round("avg_spacing", 9))
 
 
 # ---- read groups and scores -----------------------------------------------------------------------------
@@ -489,17 +528,13 @@ def mapq_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{_UNION},
-a AS (SELECT a_ctg, b_ctg, b_beg, b_end FROM op),
-c AS (SELECT a_ctg, b_ctg, b_beg, b_end, sum(least(b_end, "end") - greatest(b_beg, beg)) AS covered FROM a JOIN u ON b_ctg = ctg AND b_beg < "end" AND beg < b_end GROUP BY ALL)
+a AS (SELECT a_ctg, b_ctg, b_beg, b_end, row_number() OVER () AS i FROM op),
+c AS (SELECT i, a_ctg, b_ctg, b_beg, b_end, sum(least(b_end, "end") - greatest(b_beg, beg)) AS covered FROM a JOIN u ON b_ctg = ctg AND b_beg < "end" AND beg < b_end GROUP BY ALL)
 SELECT a_ctg, count(DISTINCT b_ctg) AS support FROM c WHERE covered >= ceil(0.95 * (b_end - b_beg)) GROUP BY a_ctg""")
 def equiv_support(spark: SparkSession, d: str) -> DataFrame:
     """Contigs by how many others support them: those whose stretch equivalent intervals cover."""
-    return _support(spark, d)
-
-
-def _support(spark: SparkSession, d: str, rows: str = "b_beg % 4 <> 0") -> DataFrame:
     a = fx.order_part(spark, d).select("a_ctg", F.col("b_ctg").alias("ctg"), "b_beg", "b_end")
-    c = intervals.covered_length(a, _union(spark, d, rows), ["ctg"], ("b_beg", "b_end"))
+    c = intervals.covered_length(a, _union(spark, d), ["ctg"], ("b_beg", "b_end"))
     return c.where(F.col("covered") >= F.ceil(0.95 * (F.col("b_end") - F.col("b_beg")))).groupBy("a_ctg").agg(F.countDistinct("ctg").alias("support"))
 
 
@@ -517,26 +552,26 @@ def cut_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {fx._OP.strip()}, {fx._PS.strip()},
 m AS (SELECT a_ctg, a_beg, a_end, b_ctg, b_beg, rev FROM op WHERE NOT rev UNION ALL SELECT a_ctg, a_beg, a_end, b_ctg, b_beg, rev FROM ps),
-c AS (SELECT a_ctg AS ctg, a_beg AS pos FROM op WHERE a_beg > 0 AND a_ctg LIKE '%00' UNION
+c AS (SELECT a_ctg AS ctg, a_beg AS pos FROM op WHERE a_beg > 0 UNION
       SELECT m.b_ctg, m.b_beg + c.pos - m.a_beg FROM c JOIN m ON m.a_ctg = c.ctg AND c.pos >= m.a_beg AND c.pos <= m.a_end)
 SELECT ctg, pos FROM c""")
 def cut_propagation(spark: SparkSession, d: str) -> DataFrame:
     op, ps = fx.order_part(spark, d), fx.part_supplier(spark, d)
-    cuts = op.where("a_beg > 0 AND a_ctg LIKE '%00'").select(F.col("a_ctg").alias("ctg"), F.col("a_beg").alias("pos")).distinct()
+    cuts = op.where("a_beg > 0").select(F.col("a_ctg").alias("ctg"), F.col("a_beg").alias("pos")).distinct()
     blocks = op.where("NOT rev").unionByName(ps)
-    return rewrite.propagate(cuts, blocks, max_rounds=10)
+    return rewrite.propagate(cuts, blocks)
 
 
-@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS key, unnest([1, 2]) AS ord, unnest([o_orderkey // 3, o_orderkey // 5]) AS part FROM orders WHERE o_orderkey >= 15 AND o_orderkey % 2 = 1),
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS key, unnest([1, 2]) AS ord, unnest([o_orderkey // 3, o_orderkey // 5]) AS part FROM orders WHERE o_orderkey >= 15),
 x AS (SELECT DISTINCT key AS root, key AS part, []::INTEGER[] AS path FROM r UNION ALL SELECT x.root, r.part, list_append(x.path, r.ord) FROM x JOIN r ON r.key = x.part)
 SELECT root, part, array_to_string(path, '.') AS path FROM x WHERE part NOT IN (SELECT key FROM r)""")
 def rule_expand(spark: SparkSession, d: str) -> DataFrame:
-    return _expanded(fx.table(spark, d, "orders").where("o_orderkey >= 15 AND o_orderkey % 2 = 1"))
+    return _expanded(fx.table(spark, d, "orders").where("o_orderkey >= 15"))
 
 
 def _expanded(o: DataFrame) -> DataFrame:
     rules = o.select(F.col("o_orderkey").alias("key"), F.explode(F.array(F.struct(F.lit(1).alias("ord"), F.floor(F.col("o_orderkey") / 3).alias("part")), F.struct(F.lit(2).alias("ord"), F.floor(F.col("o_orderkey") / 5).alias("part")))).alias("x")).select("key", "x.ord", "x.part")
-    return rewrite.expand(rules, max_rounds=40).select("root", "part", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
+    return rewrite.expand(rules).select("root", "part", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
 
 
 @query(f"""WITH {fx._OP.strip()}, {fx._PS.strip()} SELECT DISTINCT ctg FROM (SELECT a_ctg AS ctg FROM op UNION ALL SELECT b_ctg FROM op UNION ALL SELECT b_ctg FROM ps)""")
@@ -545,51 +580,4 @@ def union_distinct(spark: SparkSession, d: str) -> DataFrame:
     return op.select(F.col("a_ctg").alias("ctg")).unionByName(op.select(F.col("b_ctg").alias("ctg"))).unionByName(ps.select(F.col("b_ctg").alias("ctg"))).distinct()
 
 
-# ---- the queries above that see part of the rows, over all rows ------------------------------------------
-
-
-def _whole(name: str, part: str, all_rows: str) -> str:
-    """The SQL of a query without its filter."""
-    assert part in ORACLES[name]
-    return ORACLES[name].replace(part, all_rows)
-
-
-@query(_whole("cut_propagation", " AND a_ctg LIKE '%00'", ""))
-def cut_propagation_whole(spark: SparkSession, d: str) -> DataFrame:
-    op, ps = fx.order_part(spark, d), fx.part_supplier(spark, d)
-    cuts = op.where("a_beg > 0").select(F.col("a_ctg").alias("ctg"), F.col("a_beg").alias("pos")).distinct()
-    return rewrite.propagate(cuts, op.where("NOT rev").unionByName(ps), max_rounds=10)
-
-
-@query(_whole("lift_two_hop", " WHERE o_orderkey % 5 = 0", ""))
-def lift_two_hop_whole(spark: SparkSession, d: str) -> DataFrame:
-    both = lift.both_ways(fx.order_part(spark, d).unionByName(fx.part_supplier(spark, d)))
-    q = fx.table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("query")).distinct()
-    return _two_hops(q, both)
-
-
-@query(_whole("interval_union", " WHERE b_beg % 4 <> 0", ""))
-def interval_union_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _union(spark, d, "true")
-
-
-@query(_whole("overlap_length", " WHERE b_beg % 4 <> 0", ""))
-def overlap_length_whole(spark: SparkSession, d: str) -> DataFrame:
-    w = fx.part_windows(fx.order_part(spark, d)).select("ctg", F.col("beg").alias("w_beg"), F.col("end").alias("w_end"))
-    return intervals.covered_length(w, _union(spark, d, "true"), ["ctg"], ("w_beg", "w_end"))
-
-
-@query(_whole("equiv_support", " WHERE b_beg % 4 <> 0", ""))
-def equiv_support_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _support(spark, d, "true")
-
-
-@query(_whole("unused_nodes_anti", " WHERE v % 4 = 0", ""))
-def unused_nodes_anti_whole(spark: SparkSession, d: str) -> DataFrame:
-    segs = fx.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("seg_id")).agg(F.count(F.lit(1)).alias("n"))
-    return graph.unused_segments(segs, fx.sparse_arcs(spark, d))
-
-
-@query(_whole("rule_expand", " AND o_orderkey % 2 = 1", ""))
-def rule_expand_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _expanded(fx.table(spark, d, "orders").where("o_orderkey >= 15"))
+from . import queries_files, queries_more  # noqa: E402, F401  they register themselves here

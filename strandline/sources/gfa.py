@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import cigar
 from strandline.operators import graph
+from strandline.operators.lineage import cut
 
 from .lines import lines, rest, tag, tag_text, tags, write_lines
 
@@ -16,13 +17,15 @@ from .lines import lines, rest, tag, tag_text, tags, write_lines
 @dataclass
 class Graph:
     """segments: seg_id, name, seq (null: unknown), length, tags. arcs: v, w, ov, ow, lv, link_id,
-    comp. paths: name, pos, seg_id, rev. placements: seg_id, pos, read_rev, read_name, read_start,
-    read_end. Segment ids rise in order of first mention; they are not dense."""
+    comp, rank. paths: name, pos, seg_id, rev. placements: seg_id, pos, read_rev, read_name,
+    read_start, read_end, tags (as text). ranks: max_rank of segments and links, one row. Segment
+    ids rise in order of first mention; they are not dense."""
 
     segments: DataFrame
     arcs: DataFrame
     paths: DataFrame
     placements: DataFrame
+    ranks: DataFrame
 
 
 def _overlap(text: Column) -> tuple[Column, Column]:
@@ -37,10 +40,14 @@ def _overlap(text: Column) -> tuple[Column, Column]:
 
 
 def read_gfa(spark: SparkSession, path: str | list[str], finalise: bool = True) -> Graph:
-    """Load a graph. LN gives the length where it is present; L1 and L2 of links lengthen their
+    return parse_gfa(lines(spark, path), finalise)
+
+
+def parse_gfa(text: DataFrame, finalise: bool = True) -> Graph:
+    """A graph from lines (value, ord). LN gives the length where it is present; L1 and L2 of links lengthen their
     segments; names in P and A lines that no S or L line has are passed over. ``finalise`` makes the
     graph consistent (``operators.graph.finalise``)."""
-    rows = lines(spark, path).where(F.rlike("value", F.lit("^[SLPA]\t"))).withColumn("f", F.split("value", "\t")).persist()
+    rows = cut(text.where(F.rlike("value", F.lit("^[SLPA]\t"))).select("ord", F.split(F.rtrim("value", F.lit("\r")), "\t").alias("f")))
     s = rows.where(F.get("f", F.lit(0)) == "S").select("ord", F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("seq"), tags(rest(F.col("f"), 3)).alias("tags"))
     l = rows.where((F.get("f", F.lit(0)) == "L") & (F.size("f") >= 5)).select(  # noqa: E741
         "ord", F.get("f", F.lit(1)).alias("a"), F.get("f", F.lit(2)).alias("ao"), F.get("f", F.lit(3)).alias("b"), F.get("f", F.lit(4)).alias("bo"), F.coalesce(F.get("f", F.lit(5)), F.lit("*")).alias("o"), tags(rest(F.col("f"), 6)).alias("tags")
@@ -66,12 +73,14 @@ def read_gfa(spark: SparkSession, path: str | list[str], finalise: bool = True)
     steps = steps.select("path", "pos", F.expr("left(step, length(step) - 1)").alias("name"), F.endswith("step", F.lit("-")).alias("rev"))
     paths = steps.join(ids, "name").select(F.col("path").alias("name"), "pos", "seg_id", "rev")
     a = rows.where(F.get("f", F.lit(0)) == "A").select(
-        F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).try_cast("long").alias("pos"), (F.get("f", F.lit(3)) == "-").alias("read_rev"), F.get("f", F.lit(4)).alias("read_name"), F.get("f", F.lit(5)).try_cast("long").alias("read_start"), F.get("f", F.lit(6)).try_cast("long").alias("read_end")
+        F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).try_cast("long").alias("pos"), (F.get("f", F.lit(3)) == "-").alias("read_rev"), F.get("f", F.lit(4)).alias("read_name"), F.get("f", F.lit(5)).try_cast("long").alias("read_start"), F.get("f", F.lit(6)).try_cast("long").alias("read_end"), F.array_join(rest(F.col("f"), 7), "\t").alias("tags")
     )
     placements = a.join(ids, "name").drop("name")
+    rank = l.select(F.col("ord").alias("link_id"), tag(F.col("tags"), "SR").try_cast("int").alias("rank"))
     if finalise:
         segments, arcs = graph.finalise(segments, arcs)
-    return Graph(segments, arcs, paths, placements)
+    ranks = s.select(tag(F.col("tags"), "SR").try_cast("int").alias("rank")).unionByName(rank.select("rank")).agg(F.max("rank").alias("max_rank"))
+    return Graph(segments, arcs.join(rank, "link_id", "left"), paths, placements, ranks)
 
 
 def overlap_field(ov: Column, ow: Column) -> Column:
@@ -79,7 +88,8 @@ def overlap_field(ov: Column, ow: Column) -> Column:
 
 
 def gfa_lines(g: Graph, sequences: bool = True) -> DataFrame:
-    """line, section, ord: S lines (always with LN), then L lines of arcs that are no complements, then P."""
+    """line, section, ord: S lines (always with LN), then L lines of arcs that are no complements,
+    then P and A lines."""
     seq = F.coalesce("seq", F.lit("*")) if sequences else F.lit("*")
     s = g.segments.select(F.concat_ws("\t", F.lit("S"), "name", seq, F.concat(F.lit("LN:i:"), F.col("length")), F.nullif(tag_text(F.col("tags")), F.lit(""))).alias("line"), F.lit(0).alias("section"), F.col("seg_id").alias("ord"))
     name = lambda c: g.segments.select(F.col("seg_id").alias(f"_{c}"), F.col("name").alias(f"n{c}"))
@@ -89,7 +99,9 @@ def gfa_lines(g: Graph, sequences: bool = True) -> DataFrame:
     named = g.paths.join(g.segments.select("seg_id", F.col("name").alias("n")), "seg_id").withColumn("step", F.concat("n", F.when(F.col("rev"), "-").otherwise("+")))
     listed = named.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pos", "step"))).alias("x"))
     p = listed.select(F.concat_ws("\t", F.lit("P"), "name", F.array_join(F.transform("x", lambda y: y["step"]), ","), F.lit("*")).alias("line"), F.lit(2).alias("section"), F.xxhash64("name").alias("ord"))
-    return s.unionByName(l).unionByName(p)
+    read = F.concat_ws("\t", F.lit("A"), "n", F.col("pos"), F.when(F.col("read_rev"), "-").otherwise("+"), "read_name", "read_start", "read_end", F.nullif("tags", F.lit("")))
+    a = g.placements.join(g.segments.select("seg_id", F.col("name").alias("n")), "seg_id").select(read.alias("line"), F.lit(3).alias("section"), F.col("seg_id").alias("ord"))
+    return s.unionByName(l).unionByName(p).unionByName(a)
 
 
 def write_gfa(g: Graph, path: str, sequences: bool = True) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import records, write_lines
+from .lines import lines, records, write_lines
 
 _PIECES = "array<struct<ctg:string,beg:bigint,end:bigint,fwd:boolean>>"
 
@@ -72,10 +72,14 @@ def _length(pieces: Column) -> Column:
 
 
 def read_map(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_map(lines(spark, path))
+
+
+def parse_map(text: DataFrame) -> DataFrame:
     """Records a_ctg, a_beg, a_end, b_ctg, b_beg, b_end, rev. Both sides of a line must be equally
     long; lines of no length are passed over."""
     f = F.split(F.trim("value"), r"\s+")
-    rows = records(spark, path).select(_pieces(f[0]).alias("a"), _pieces(f[1]).alias("b"), "value")
+    rows = records(text).select(_pieces(f[0]).alias("a"), _pieces(f[1]).alias("b"), "value")
     checked = F.when(_length(F.col("a")) == _length(F.col("b")), zip_sides(F.col("a"), F.col("b"))).otherwise(
         F.raise_error(F.concat(F.lit("sides differ in length: "), F.col("value"))).cast("array<struct<lo:bigint,hi:bigint,a_ctg:string,a_beg:bigint,a_end:bigint,b_ctg:string,b_beg:bigint,b_end:bigint,rev:boolean>>")
     )
