@@ -144,14 +144,12 @@ class Lattice:
             alpha[d[new]] = np.logaddexp.reduceat(joint[own], new)
         p = np.exp(joint - alpha[dst])
         new = np.concatenate([[True], dst[1:] != dst[:-1]]) if len(dst) else np.empty(0, bool)
-        # Sums within each node, so that a word's thresholds are the same in every chunk.
+        # Whole numbers add up to the same whatever stands before, so a word's thresholds are the
+        # same in every chunk.
         begin = np.flatnonzero(new)
-        turn = np.arange(len(dst)) - np.repeat(begin, np.diff(np.append(begin, len(dst))))
-        by = np.argsort(turn, kind="stable")
-        edge = np.cumsum(np.bincount(turn)) if len(turn) else np.empty(0, np.int64)
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            p[by[lo:hi]] += p[by[lo:hi] - 1]
-        self.upto = np.minimum((p * (1 << _BITS)).astype(np.int64), 1 << _BITS)
+        part = (p * (1 << _BITS)).astype(np.int64)
+        run = np.cumsum(part)
+        self.upto = run - np.repeat((run - part)[begin], np.diff(np.append(begin, len(dst))))
         self.upto[np.append(begin[1:] - 1, len(dst) - 1) if len(dst) else begin] = 1 << _BITS
         self.upto += dst << _BITS
 
