@@ -14,7 +14,7 @@ from . import fixtures as fx
 from . import tasks
 from .queries import query
 
-TAB = F.lit("\t")
+TAB = "\t"
 
 
 def _text(*parts: object) -> F.Column:
@@ -75,7 +75,8 @@ def _arc_lines(spark: SparkSession, d: str, overlap: F.Column) -> DataFrame:
     )
 
 
-_OV = F.when(F.col("v") % 5 == 0, "*").when(F.col("v") % 5 == 1, F.col("ov").cast("string")).when(F.col("v") % 5 == 2, _c(F.col("ov"), ":", F.col("ov") + 1)).when(F.col("v") % 5 == 3, _c(F.col("ov"), "M2I1D")).otherwise(_c(":", F.col("ov")))
+def _ov() -> F.Column:
+    return F.when(F.col("v") % 5 == 0, "*").when(F.col("v") % 5 == 1, F.col("ov").cast("string")).when(F.col("v") % 5 == 2, _c(F.col("ov"), ":", F.col("ov") + 1)).when(F.col("v") % 5 == 3, _c(F.col("ov"), "M2I1D")).otherwise(_c(":", F.col("ov")))
 
 
 @query(f"""WITH {fx.ARCS_SQL.strip()}
@@ -83,7 +84,7 @@ SELECT v, w, CASE v % 5 WHEN 1 THEN ov WHEN 2 THEN ov WHEN 3 THEN ov + 1 END AS
   CASE WHEN w % 9 = 0 THEN (w % 4)::INTEGER END AS rank FROM arcs""")
 def gfa_links(spark: SparkSession, d: str) -> DataFrame:
     """L lines: the grammar of overlaps, ranks, and names looked up."""
-    g = gfa.parse_gfa(_part_lines(spark, d, F.col("p_size")).unionByName(_arc_lines(spark, d, _OV)), finalise=False)
+    g = gfa.parse_gfa(_part_lines(spark, d, F.col("p_size")).unionByName(_arc_lines(spark, d, _ov())), finalise=False)
     number = g.segments.select("seg_id", F.substr("name", F.lit(2)).cast("long").alias("k"))
     at = lambda c: number.select(F.col("seg_id").alias(f"_{c}"), F.col("k").alias(f"k{c}"))
     named = g.arcs.withColumn("_v", graph.segment("v")).withColumn("_w", graph.segment("w")).join(at("v"), "_v").join(at("w"), "_w")
@@ -94,7 +95,7 @@ def gfa_links(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'p' || p_partkey AS name, greatest(p_size, coalesce(n, 0))::BIGINT AS length FROM part LEFT JOIN g ON k = p_partkey""")
 def gfa_grown_segments(spark: SparkSession, d: str) -> DataFrame:
     """L1 of links lengthens segments."""
-    return gfa.parse_gfa(_part_lines(spark, d, F.col("p_size")).unionByName(_arc_lines(spark, d, _OV))).segments.select("name", "length")
+    return gfa.parse_gfa(_part_lines(spark, d, F.col("p_size")).unionByName(_arc_lines(spark, d, _ov()))).segments.select("name", "length")
 
 
 _FINAL = f"""WITH {fx.ARCS_SQL.strip()},
