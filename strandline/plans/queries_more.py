@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import names, spans
-from strandline.operators import bubbles, flanks, rewrite, sketches
+from strandline.operators import bubbles, flanks, graph, rewrite, scores, sketches
 from strandline.sources import alignments
 
 from . import fixtures as fx
@@ -393,3 +393,32 @@ def lift_check(spark: SparkSession, d: str) -> DataFrame:
     starts = size.select("ctg", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(50).cast("long"))).alias("beg"), "n")
     windows = starts.select(_c(F.col("ctg"), ":", F.col("beg")).alias("query_id"), "ctg", "beg", F.least(F.col("beg") + 50, F.col("n")).alias("end"))
     return tasks.check_lift(windows, ps, seqs, max_hops=0)
+
+
+@query(f"""WITH {_N}, r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY q DESC, id) AS a, row_number() OVER (PARTITION BY o, s % 3 ORDER BY q DESC, id) AS i FROM n),
+f AS (SELECT *, min(a) OVER (PARTITION BY o, s % 3) AS f FROM r) SELECT id FROM (SELECT *, dense_rank() OVER (PARTITION BY o ORDER BY f) AS g FROM f) WHERE i <= 2 AND g <= 2""")
+def top_of_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Two best rows of each of an order's two best groups."""
+    n = _numbered(spark, d).withColumn("grp", F.col("s") % 3)
+    return scores.top_groups(n, "o", "grp", [F.desc("q"), F.col("id")], 2, 2).select("id")
+
+
+@query(f"""WITH {_N}, f AS (SELECT *, CASE s % 4 WHEN 0 THEN 0 WHEN 1 THEN 2048 ELSE 256 END AS flag FROM n),
+g AS (SELECT *, coalesce(sum(CASE WHEN flag = 256 THEN 1 ELSE 0 END) OVER (PARTITION BY o ORDER BY q DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM f WHERE flag <> 2048) SELECT id FROM g WHERE b < 2""")
+def primary_and_secondary(spark: SparkSession, d: str) -> DataFrame:
+    n = _numbered(spark, d).withColumn("flag", F.when(F.col("s") % 4 == 0, 0).when(F.col("s") % 4 == 1, 2048).otherwise(256))
+    return scores.primary_and_secondary(n, "o", [F.desc("q"), F.col("id")], 2).select("id")
+
+
+@query(f"""WITH {fx.ARCS_SQL.strip()}, had AS (SELECT v, w, ov, ov AS ow, 0 AS rank, v * 1000000 + w AS link_id, false AS comp FROM arcs),
+nw AS (SELECT p_partkey * 2 AS v, 1000001::BIGINT * 2 AS w, 0::BIGINT AS ov, 1::BIGINT AS ow, 3 AS rank, -p_partkey AS link_id FROM part WHERE p_size < 20),
+added AS (SELECT *, false AS comp FROM nw UNION ALL SELECT xor(w, 1), xor(v, 1), ow, ov, rank, link_id, true FROM nw),
+seg AS (SELECT p_partkey AS k FROM part WHERE p_size <> 7 UNION ALL SELECT 1000001)
+SELECT * FROM (FROM had UNION ALL SELECT v, w, ov, ow, rank, link_id, comp FROM added) WHERE v // 2 IN (SELECT k FROM seg) AND w // 2 IN (SELECT k FROM seg)""")
+def graph_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of size 7 go, one comes in, small parts lead to it."""
+    part, arcs = fx.table(spark, d, "part"), fx.part_arcs(spark, d)
+    segs = part.select(F.col("p_partkey").alias("seg_id"))
+    had = arcs.select("v", "w", "ov", F.col("ov").alias("ow"), F.lit(0).alias("rank"), (F.col("v") * 1_000_000 + F.col("w")).alias("link_id"), F.lit(False).alias("comp"))
+    new = part.where("p_size < 20").select((F.col("p_partkey") * 2).alias("v"), F.lit(2_000_002).cast("long").alias("w"), F.lit(0).cast("long").alias("ov"), F.lit(1).cast("long").alias("ow"), F.lit(3).alias("rank"), (-F.col("p_partkey")).alias("link_id"))
+    return graph.edit(segs, had, part.where("p_size = 7").select(F.col("p_partkey").alias("seg_id")), spark.createDataFrame([(1_000_001,)], "seg_id long"), new)[1]
