@@ -119,3 +119,19 @@ def stats(parsed: Column) -> Column:
         match.alias("matches"), mis.alias("mismatches"), ins.alias("inserted"), dele.alias("deleted"), aligned.alias("aln_len"), (aligned + clip).alias("full_len"),
         share(match, match + mis).alias("local_identity"), share(match, aligned).alias("gapped_identity"), share(match, aligned + clip).alias("full_identity"),
     )
+
+
+#: Fixed value: operations in the order of their packed codes.
+CODES = "MIDNSHP=X"
+
+
+def unpack(packed: Column) -> Column:
+    """Text of packed operations (length * 16 + code); '*' where there are none, '?' for no code."""
+    one = lambda x: F.concat(F.shiftright(x, 4).cast("string"), F.coalesce(F.nullif(F.substr(F.lit(CODES), (x.bitwiseAND(F.lit(15).cast("long")) + 1).cast("int"), F.lit(1)), F.lit("")), F.lit("?")))
+    return F.when(packed.isNull() | (F.size(packed) == 0), F.lit("*")).otherwise(F.array_join(F.transform(packed, one), ""))
+
+
+def paf_lengths(parsed: Column) -> Column:
+    """struct<matches,block>: an M counts as matched where neither = nor X tells matches."""
+    told = F.exists(parsed, lambda x: x["op"].isin("=", "X"))
+    return F.struct(F.when(told, _span(parsed, "=")).otherwise(_span(parsed, "M")).alias("matches"), _span(parsed, MATCH).alias("block"))

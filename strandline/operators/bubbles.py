@@ -167,3 +167,39 @@ def representatives(told: DataFrame, most: float) -> DataFrame:
     alike = lambda acc, p: F.exists(acc, lambda r: difference(p["profile"], p["bp"], r["profile"], r["bp"]) <= most)
     kept = F.aggregate(ordered, none, lambda acc, p: F.when((p["bp"] == 0) | alike(acc, p), acc).otherwise(F.concat(acc, F.array(p))))
     return listed.select("bubble", F.explode(F.when(F.size("x") == 1, F.col("x")).otherwise(kept)).alias("r")).select("bubble", "r.path")
+
+
+def nearest_tips(reach: DataFrame) -> DataFrame:
+    """a, b, node, most, total: tips that are each other's nearest (a < b), and the vertex where they meet;
+    reach: tip, v, dist (the way back from each tip).
+
+    Nearness is the greater of both distances, then their sum, then the other tip, then the vertex. At a
+    vertex a tip's nearest is the one that is least far from it, so the two least far suffice there
+    and no vertex that many tips lead to makes all their pairs.
+    """
+    near = reach.groupBy("v").agg(F.min(F.struct("dist", "tip")).alias("one"))
+    rest = reach.join(near, "v").where(F.col("tip") != F.col("one.tip")).groupBy("v").agg(F.min(F.struct("dist", "tip")).alias("two"))
+    told = reach.join(near, "v").join(rest, "v", "left").withColumn("o", F.when(F.col("tip") == F.col("one.tip"), F.col("two")).otherwise(F.col("one"))).where("o IS NOT NULL")
+    key = F.struct(F.greatest("dist", "o.dist").alias("most"), (F.col("dist") + F.col("o.dist")).alias("total"), F.col("o.tip").alias("other"), F.col("v").alias("node"))
+    best = cut(told.groupBy("tip").agg(F.min(key).alias("x")).select("tip", "x.*"))
+    back = best.select(F.col("tip").alias("other"), F.col("other").alias("tip"))
+    return best.where("tip < other").join(back, ["tip", "other"], "left_semi").select(F.col("tip").alias("a"), F.col("other").alias("b"), "node", "most", "total")
+
+
+def back_reach(arcs: DataFrame, tips: DataFrame, limit: int) -> DataFrame:
+    """tip, v, dist: vertices that lead to a tip (column v) in at most ``limit`` arcs, fewest first."""
+    from .graph import reach
+
+    turned = _real(arcs).select(F.col("w").alias("v"), F.col("v").alias("w"))
+    return reach(turned, tips, limit).select(F.col("start").alias("tip"), "v", F.col("hops").alias("dist"))
+
+
+def open_bubbles(arcs: DataFrame, tips: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Bubbles that end in two tips: bubble (the lesser tip), source, a, b; and the ways from the source to
+    each of them (bubble, path, pos, v) of at most ``limit`` arcs."""
+    pairs = cut(nearest_tips(back_reach(arcs, tips, limit)).select(F.col("a").alias("bubble"), F.col("node").alias("source"), "a", "b"))
+    key = F.struct("bubble", "end")
+    ends = pairs.select("bubble", "source", F.explode(F.array("a", "b")).alias("end")).where("source <> end")
+    ways = paths(arcs, ends.select(key.alias("bubble"), "source", F.col("end").alias("sink")), limit)
+    number = F.dense_rank().over(Window.partitionBy("bubble.bubble").orderBy("bubble.end", "path"))
+    return pairs, ways.withColumn("_n", number).select(F.col("bubble.bubble").alias("bubble"), F.col("_n").alias("path"), "pos", "v")

@@ -580,4 +580,4 @@ def union_distinct(spark: SparkSession, d: str) -> DataFrame:
     return op.select(F.col("a_ctg").alias("ctg")).unionByName(op.select(F.col("b_ctg").alias("ctg"))).unionByName(ps.select(F.col("b_ctg").alias("ctg"))).distinct()
 
 
-from . import queries_files, queries_more  # noqa: E402, F401  they register themselves here
+from . import queries_chains, queries_files, queries_more  # noqa: E402, F401  they register themselves here

@@ -106,3 +106,33 @@ def gfa_lines(g: Graph, sequences: bool = True) -> DataFrame:
 
 def write_gfa(g: Graph, path: str, sequences: bool = True) -> None:
     write_lines(gfa_lines(g, sequences), path, ["section", "ord", "line"])
+
+
+def bubble_lines(g: Graph, bubbles: DataFrame, ways: DataFrame, min_bases: int = 0, min_nodes: int = 0) -> DataFrame:
+    """line, section, ord: bubbles (bubble, source, sink, kind, inner_nodes, inner_bp) with at least so much inside,
+    as a graph: an H line for each, S and L lines of the segments on their ways (bubble, path from 1,
+    pos, v), and P lines of what the ways hold between source and sink, spelled."""
+    live = cut(bubbles.where((F.col("inner_nodes") >= min_nodes) & (F.col("inner_bp") >= min_bases)))
+    on = cut(ways.join(live.select("bubble", "source", "sink"), "bubble"))
+    name = lambda c: g.segments.select(F.col("seg_id").alias(f"_{c}"), F.col("name").alias(f"n_{c}"))
+    sign = lambda c, fwd="+", back="-": F.when(F.col(c).bitwiseAND(F.lit(1).cast("long")) == 1, back).otherwise(fwd)
+    told = live.withColumn("_source", graph.segment("source")).withColumn("_sink", graph.segment("sink")).join(name("source"), "_source").join(name("sink"), "_sink")
+    head = F.concat_ws(
+        "\t", F.lit("H"), F.concat(F.lit("bubble:i:"), "bubble"), F.concat(F.lit("source:"), "n_source", sign("source")), F.concat(F.lit("sink:"), "n_sink", sign("sink")),
+        F.concat(F.lit("BT:Z:"), "kind"), F.concat(F.lit("BL:i:"), "inner_bp"), F.concat(F.lit("BN:i:"), "inner_nodes"),
+    )
+    top = g.segments.sparkSession.range(1).select(F.lit("H\tVN:Z:1.0").alias("line"), F.lit(-2).alias("section"), F.lit(0).cast("long").alias("ord"))
+    h = told.select(head.alias("line"), F.lit(-1).alias("section"), F.col("bubble").cast("long").alias("ord"))
+    used = on.select(graph.segment("v").alias("seg_id")).distinct()
+    segs = g.segments.join(used, "seg_id", "left_semi")
+    arcs = g.arcs.join(used, graph.segment("v") == used["seg_id"], "left_semi").join(used, graph.segment("w") == used["seg_id"], "left_semi")
+    body = gfa_lines(Graph(segs.withColumn("tags", F.lit(None).cast("map<string,struct<type:string,value:string>>")), arcs, g.paths.limit(0), g.placements.limit(0), g.ranks))
+    inner = on.where((graph.segment("v") != graph.segment("source")) & (graph.segment("v") != graph.segment("sink"))).select("bubble", "path", "pos", "v")
+    key = F.struct("bubble", "path")
+    text = graph.spell(inner.select(key.alias("path_id"), "pos", "v"), g.segments, g.arcs)
+    step = inner.withColumn("_v", graph.segment("v")).join(name("v"), "_v").withColumn("_step", F.concat(sign("v", ">", "<"), "n_v"))
+    listed = step.groupBy(key.alias("path_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_step"))), lambda x: x["_step"]), "").alias("steps")).join(text, "path_id")
+    b, p = F.col("path_id.bubble").cast("string"), (F.col("path_id.path") - 1).cast("string")
+    spelled = F.when(F.col("seq") == "", F.lit("*")).otherwise(F.col("seq"))
+    line = F.concat_ws("\t", F.lit("P"), F.concat(F.lit("b"), b, F.lit(".p"), p), "steps", F.lit("*"), F.concat(F.lit("BI:i:"), b), F.concat(F.lit("PI:i:"), p), F.concat(F.lit("PL:i:"), F.char_length("seq").cast("string")), F.concat(F.lit("SEQ:Z:"), spelled))
+    return top.unionByName(h).unionByName(body).unionByName(listed.select(line.alias("line"), F.lit(2).alias("section"), F.col("path_id.bubble").cast("long").alias("ord")))
