@@ -135,3 +135,36 @@ def paf_lengths(parsed: Column) -> Column:
     """struct<matches,block>: an M counts as matched where neither = nor X tells matches."""
     told = F.exists(parsed, lambda x: x["op"].isin("=", "X"))
     return F.struct(F.when(told, _span(parsed, "=")).otherwise(_span(parsed, "M")).alias("matches"), _span(parsed, MATCH).alias("block"))
+
+
+def _block_ops(block: Column) -> Column:
+    """A block (r_beg, r_end, q_beg, q_end) as = over what both sides have, and D or I for the rest of either."""
+    r, q = block["r_end"] - block["r_beg"], block["q_end"] - block["q_beg"]
+    one = lambda n, op: F.struct(n.alias("len"), F.lit(op).alias("op"))
+    every = F.array(one(F.least(r, q), "="), one(r - F.least(r, q), "D"), one(q - F.least(r, q), "I"))
+    return F.filter(every, lambda x: x["len"] > 0)
+
+
+def assembled(lead: Column, blocks: Column, gaps: Column, trail: Column) -> Column:
+    """Operations of an alignment: what leads to the first block, blocks with the CIGARs between them, what trails.
+    lead and trail are CIGAR texts ('*' or null: nothing), gaps an array of them, the nth behind
+    the nth block."""
+    inner = F.transform(blocks, lambda b, i: F.concat(_block_ops(b), ops(F.get(gaps, i))))
+    return merge_runs(F.concat(ops(lead), F.flatten(inner), ops(trail)))
+
+
+def finished(parsed: Column, r_beg: Column, r_end: Column, q_beg: Column, q_end: Column, read_len: Column, hard: bool = False) -> Column:
+    """struct<r_beg,r_end,cigar> of an alignment: deletions at its ends go, what of the read it lacks is clipped. A
+    CIGAR that then doesn't spell the whole read is an error."""
+    nothing = F.struct(F.lit(0).cast("long").alias("len"), F.lit("").alias("op"))
+    front = F.coalesce(F.get(parsed, F.lit(0)), nothing)
+    left = F.when(front["op"] == "D", front["len"]).otherwise(0)
+    rest = F.when(front["op"] == "D", F.slice(parsed, F.lit(2), F.greatest(F.size(parsed) - 1, F.lit(0)))).otherwise(parsed)
+    tail = F.coalesce(F.get(rest, F.size(rest) - 1), nothing)
+    right = F.when(tail["op"] == "D", tail["len"]).otherwise(0)
+    kept = F.when(tail["op"] == "D", F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+    clip = lambda n: F.filter(F.array(F.struct(n.cast("long").alias("len"), F.lit("H" if hard else "S").alias("op"))), lambda x: x["len"] > 0)
+    whole = merge_runs(F.concat(clip(q_beg), kept, clip(read_len - q_end)))
+    wrong = F.raise_error(F.concat(F.lit("the CIGAR doesn't spell the read: "), pack(whole)))
+    text = F.when(query_span(whole) == read_len, pack(whole)).otherwise(wrong.cast("string"))
+    return F.struct((r_beg + left).alias("r_beg"), (r_end - right).alias("r_end"), text.alias("cigar"))

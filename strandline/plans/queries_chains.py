@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import cigar
-from strandline.operators import bubbles, chains, rewrite, sketches
+from strandline.functions import cigar, spans
+from strandline.operators import bubbles, chains, rewire, rewrite, scores, sketches
 from strandline.sources import alignments, gfa, maps
 
 from . import fixtures as fx
@@ -235,3 +235,84 @@ def seed_chains(spark: SparkSession, d: str) -> DataFrame:
     q = sketches.minimizers(docs, 9, 6).join(docs.select("name", F.char_length("seq").alias("length")), "name")
     found = chains.seed_chains(sketches.seeds(q, sketches.minimizers(bench, 9, 6), 9, 0.01), 9, {"min_sc": 18, "min_cnt": 2, "max_dist": 500, "bw": 100})
     return chains.join_chains(found, 200, 50)
+
+
+# ---- rewiring ----------------------------------------------------------------------------------------
+
+
+def _junction_rounds(rounds: int) -> str:
+    """Rounds of the rule filter, unrolled; each drops what the one before left."""
+    out = []
+    for i in range(rounds):
+        out.append(f"""l{i} AS (SELECT seg, CASE WHEN n0 < n OR (n0 = n AND e0 - b0 < e - b) THEN b0 ELSE b END AS b FROM (
+  SELECT *, lag(b) OVER w AS b0, lag(e) OVER w AS e0, lag(n) OVER w AS n0, lag(CASE WHEN rev THEN (f // 2) * 2 + 1 - f % 2 ELSE l END) OVER w AS out_, CASE WHEN rev THEN (l // 2) * 2 + 1 - l % 2 ELSE f END AS in_ FROM k{i} WINDOW w AS (PARTITION BY seg ORDER BY b, e)) WHERE e0 = b AND out_ = in_),
+k{i + 1} AS (SELECT * FROM k{i} WHERE (seg, b) NOT IN (SELECT seg, b FROM l{i}))""")
+    return ",\n".join(out)
+
+
+@query(f"""WITH {_N}, k0 AS (SELECT p % 40 AS seg, n * n AS b, (n + 1) * (n + 1) AS e, p % 40 % 2 = 1 AS rev, count(*) AS n, arg_min(s % 2 * 2 + CASE WHEN rev THEN 1 ELSE 0 END, id) AS f, arg_max(s % 2 * 2 + CASE WHEN rev THEN 1 ELSE 0 END, id) AS l FROM n GROUP BY p % 40, n.n),
+{_junction_rounds(8)} SELECT seg, b AS beg, e AS "end", n AS parts FROM k8""")
+def rules_without_junctions(spark: SparkSession, d: str) -> DataFrame:
+    """Rules whose neighbours don't end in the part that they begin with."""
+    part = F.struct((F.col("s") % 2).alias("seg"), F.lit(0).cast("long").alias("beg"), F.lit(5).cast("long").alias("end"), "rev")
+    n = _numbered(spark, d).select((F.col("p") % 40).alias("seg"), (F.col("n") * F.col("n")).alias("beg"), ((F.col("n") + 1) * (F.col("n") + 1)).alias("end"), (F.col("p") % 40 % 2 == 1).alias("key_rev"), F.col("id").alias("ord"), part.alias("part"))
+    rules = n.withColumnRenamed("key_rev", "rev")
+    return rewire.without_junctions(rules).groupBy("seg", "beg", "end").agg(F.count(F.lit(1)).alias("parts"))
+
+
+_PARTS = f"""WITH {fx.ARCS_SQL.strip()}, z AS (SELECT p_partkey AS k, p_size::BIGINT AS s FROM part),
+fw AS (SELECT k, CASE WHEN k % 3 = 0 THEN [{{'s': k % 7 + 1, 'b': 0, 'e': 5, 'r': 0}}, {{'s': k % 11 + 2, 'b': 3, 'e': 9, 'r': 1}}] ELSE [{{'s': k, 'b': 0, 'e': s, 'r': 0}}] END || [{{'s': k, 'b': s, 'e': 2 * s, 'r': 0}}] AS l FROM z),
+vp AS (SELECT k * 2 AS v, l FROM fw UNION ALL SELECT k * 2 + 1, list_transform(list_reverse(l), lambda x: {{'s': x.s, 'b': x.b, 'e': x.e, 'r': 1 - x.r}}) FROM fw),
+us AS (SELECT v FROM arcs UNION SELECT w FROM arcs),
+ed AS (SELECT l[i] AS a, l[i + 1] AS b FROM (SELECT l, unnest(range(1, len(l))) AS i FROM vp WHERE v IN (SELECT v FROM us)) UNION SELECT x.l[-1], y.l[1] FROM arcs JOIN vp x ON x.v = arcs.v JOIN vp y ON y.v = arcs.w)"""
+
+
+def _rewired(spark: SparkSession, d: str) -> DataFrame:
+    z = fx.table(spark, d, "part").select(F.col("p_partkey").alias("seg"), F.col("p_size").cast("long").alias("s"))
+    zero = F.lit(0).cast("long")
+    cuts = z.select("seg", F.explode(F.array(zero, F.col("s"), 2 * F.col("s"))).alias("pos"))
+    part = lambda o, s, b, e, r: F.struct(F.lit(o).alias("ord"), F.struct(s.alias("seg"), F.lit(b).cast("long").alias("beg"), F.lit(e).cast("long").alias("end"), F.lit(r).alias("rev")).alias("part"))
+    rules = z.where("seg % 3 = 0").select("seg", zero.alias("beg"), F.col("s").alias("end"), F.explode(F.array(part(1, F.col("seg") % 7 + 1, 0, 5, False), part(2, F.col("seg") % 11 + 2, 3, 9, True))).alias("x")).select("seg", "beg", "end", "x.ord", "x.part")
+    arcs = fx.part_arcs(spark, d).select("v", "w", zero.alias("ov"), zero.alias("ow"))
+    return rewire.rewired(arcs, rewire.vertex_parts(cuts, rules))
+
+
+@query(f"{_PARTS} SELECT a.s || ':' || a.b || '-' || a.e || CASE WHEN a.r = 1 THEN '-' ELSE '+' END AS a, b.s || ':' || b.b || '-' || b.e || CASE WHEN b.r = 1 THEN '-' ELSE '+' END AS b FROM ed")
+def rewired_arcs(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of a graph that follow one another once rules have replaced a third of its segments' halves."""
+    return _rewired(spark, d).select(spans.text(F.col("a")).alias("a"), spans.text(F.col("b")).alias("b"))
+
+
+@query(f"""{_PARTS}, x AS (SELECT DISTINCT t.s, t.b, t.e FROM (SELECT a AS t FROM ed UNION ALL SELECT b FROM ed))
+SELECT 'p' || s || ':' || b || '-' || e AS name, substr({_BASES}, b + 1, e - b) AS seq FROM x JOIN part ON p_partkey = s""")
+def rewired_segments(spark: SparkSession, d: str) -> DataFrame:
+    base = F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    segs = fx.table(spark, d, "part").select(F.col("p_partkey").alias("seg_id"), _c("p", F.col("p_partkey")).alias("name"), base.alias("seq"))
+    return rewire.part_segments(_rewired(spark, d), segs).select("name", "seq")
+
+
+@query(f"""WITH {_N}, x AS (SELECT id, n, q, CASE WHEN n = 1 THEN 4 ELSE 0 END AS lead, CASE WHEN rev THEN 3 ELSE 0 END AS trail, s % 5 AS dl FROM n)
+SELECT id, 100 + CASE WHEN n = 1 THEN 4 ELSE 0 END AS r_beg, 100 + 4 * (n = 1)::INT + q + 2 + dl + q + 5 + 2 * rev_ AS r_end,
+  n || 'S' || (q || '=' || CASE WHEN dl > 0 THEN (dl + 2) || 'D' ELSE '2D' END) || (q + 5) || '=' || '1I' || CASE WHEN rev_ = 1 THEN '2X' ELSE '' END || '7S' AS cigar FROM (SELECT *, (trail > 0)::INT AS rev_ FROM x)""")
+def finished_cigars(spark: SparkSession, d: str) -> DataFrame:
+    """Two blocks and the gap between them made one CIGAR, without deletions at its ends, clipped."""
+    n = _numbered(spark, d)
+    q, at, dl = F.col("q"), F.col("n"), F.col("s") % 5
+    zero = F.lit(0).cast("long")
+    block = lambda r, x, z, w: F.struct(r.alias("r_beg"), x.alias("r_end"), z.alias("q_beg"), w.alias("q_end"))
+    # The first block has two places more on the reference, the second one more on the read; a gap of dl places.
+    blocks = F.array(block(zero, q + 2, zero, q), block(zero, q + 5, zero, q + 6))
+    gap = F.when(dl > 0, _c(dl, "D")).otherwise("*")
+    lead = F.when(at == 1, "4D").otherwise("*")
+    trail = F.when(F.col("rev"), "2X1D").otherwise("*")
+    two = F.when(F.col("rev"), 2).otherwise(0)
+    span_r = F.when(at == 1, 4).otherwise(0) + 2 * q + 7 + dl + F.when(F.col("rev"), 3).otherwise(0)
+    span_q = 2 * q + 6 + two
+    x = cigar.finished(cigar.assembled(lead, blocks, F.array(gap), trail), F.lit(100).cast("long"), 100 + span_r, at, at + span_q, at + span_q + 7)
+    return n.select("id", x.alias("x")).select("id", "x.r_beg", "x.r_end", "x.cigar")
+
+
+@query(f"""WITH {_N}, x AS (SELECT id, s, lag(s) OVER (ORDER BY id) AS b FROM n) SELECT id AS ord FROM x WHERE s < b""")
+def names_out_of_order(spark: SparkSession, d: str) -> DataFrame:
+    """Lines whose read name comes before the last line's, numbers as numbers."""
+    return scores.out_of_order(_numbered(spark, d).select(F.col("id").alias("ord"), _c("run", F.col("s"), "/x").alias("qname")), chunk=100_000).select("ord")
