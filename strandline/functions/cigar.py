@@ -156,15 +156,19 @@ def assembled(lead: Column, blocks: Column, gaps: Column, trail: Column) -> Colu
 def finished(parsed: Column, r_beg: Column, r_end: Column, q_beg: Column, q_end: Column, read_len: Column, hard: bool = False) -> Column:
     """struct<r_beg,r_end,cigar> of an alignment: deletions at its ends go, what of the read it lacks is clipped. A
     CIGAR that then doesn't spell the whole read is an error."""
-    nothing = F.struct(F.lit(0).cast("long").alias("len"), F.lit("").alias("op"))
-    front = F.coalesce(F.get(parsed, F.lit(0)), nothing)
-    left = F.when(front["op"] == "D", front["len"]).otherwise(0)
-    rest = F.when(front["op"] == "D", F.slice(parsed, F.lit(2), F.greatest(F.size(parsed) - 1, F.lit(0)))).otherwise(parsed)
-    tail = F.coalesce(F.get(rest, F.size(rest) - 1), nothing)
-    right = F.when(tail["op"] == "D", tail["len"]).otherwise(0)
-    kept = F.when(tail["op"] == "D", F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
+    hold = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is computed once
+    lost = lambda p, i: F.when(F.get(p, i)["op"] == "D", F.get(p, i)["len"]).otherwise(0)
     clip = lambda n: F.filter(F.array(F.struct(n.cast("long").alias("len"), F.lit("H" if hard else "S").alias("op"))), lambda x: x["len"] > 0)
-    whole = merge_runs(F.concat(clip(q_beg), kept, clip(read_len - q_end)))
-    wrong = F.raise_error(F.concat(F.lit("the CIGAR doesn't spell the read: "), pack(whole)))
-    text = F.when(query_span(whole) == read_len, pack(whole)).otherwise(wrong.cast("string"))
-    return F.struct((r_beg + left).alias("r_beg"), (r_end - right).alias("r_end"), text.alias("cigar"))
+
+    def read(p: Column) -> Column:
+        text = F.when(query_span(p) == read_len, pack(p))
+        return F.coalesce(text, F.raise_error(F.concat(F.lit("the CIGAR doesn't spell the read: "), pack(p))).cast("string"))
+
+    def bare(p: Column) -> Column:
+        left = lost(p, F.lit(0))
+        right = F.when((F.size(p) > 1) | (left == 0), lost(p, F.size(p) - 1)).otherwise(0)
+        kept = F.slice(p, F.when(left > 0, 2).otherwise(1), F.greatest(F.size(p) - (left > 0).cast("int") - (right > 0).cast("int"), F.lit(0)))
+        text = hold(merge_runs(F.concat(clip(q_beg), kept, clip(read_len - q_end))), read)
+        return F.struct((r_beg + left).alias("r_beg"), (r_end - right).alias("r_end"), text.alias("cigar"))
+
+    return hold(parsed, bare)
