@@ -82,3 +82,13 @@ def test_options():
     options.check_words(61, 255, wide=True)
     with pytest.raises(ValueError):
         options.check_words(29, 10)
+
+
+def test_map_of_file(spark, tmp_path):
+    from strandline.plans import tasks
+
+    (tmp_path / "x.gfa").write_text("S\tu\tACGTACGTAC\nA\tu\t2\t+\tread\t1\t6\n")
+    (tmp_path / "x.paf").write_text("q\t60\t0\t10\t+\tt\t90\t5\t15\t10\t10\t60\tcg:Z:10M\n")
+    assert [tuple(r)[:6] for r in tasks.map_of_file(spark, str(tmp_path / "x.gfa")).collect()] == [("u", 2, 7, "read", 1, 6)]
+    assert [tuple(r)[:6] for r in tasks.map_of_file(spark, str(tmp_path / "x.paf"), min_len=10).collect()] == [("t", 5, 15, "q", 0, 10)]
+    assert tasks.map_of_file(spark, str(tmp_path / "x.paf")).count() == 0
