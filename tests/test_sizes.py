@@ -32,3 +32,10 @@ def test_longer_than_told(spark):
     a, b = spark.createDataFrame([(1, 0, 5000)], "k int, b long, e long"), spark.createDataFrame([(1, 0, 10)], "k int, c long, f long")
     with pytest.raises(Exception, match="longer than told"):
         intervals.overlap_join(a, b, ["k"], ("b", "e"), ("c", "f"), levels=([0], [0])).collect()
+
+
+def test_keep_best_one_exchange(spark):
+    rows = spark.createDataFrame([(1, "c", False, 0, 9, 0), (1, "c", False, 5, 20, 1), (1, "c", False, 9, 12, 2), (1, "c", False, 11, 30, 3), (1, "d", False, 11, 30, 4)], "query_id int, ctg string, rev boolean, beg long, end long, win int")
+    kept = lift.keep_best(rows.where("win = 0"), rows.where("win > 0"), [F.desc(F.col("end") - F.col("beg"))])
+    assert sorted(r.win for r in kept.collect()) == [0, 3, 4]
+    assert kept._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
