@@ -39,3 +39,11 @@ def test_keep_best_one_exchange(spark):
     kept = lift.keep_best(rows.where("win = 0"), rows.where("win > 0"), [F.desc(F.col("end") - F.col("beg"))])
     assert sorted(r.win for r in kept.collect()) == [0, 3, 4]
     assert kept._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+
+
+def test_lines_are_read_once(spark):
+    text = spark.createDataFrame([("q\t9\t0\t9\t+\tt\t9\t0\t9\t9\t9\t60\ttp:A:P\tcg:Z:9M", 1)], "value string, ord long")
+    usable = paf.with_twins(paf.usable(alignments.parse_paf(text), lines.tag, min_len=1))
+    assert sorted(r.qname for r in usable.collect()) == ["q", "t"]
+    plan = usable._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(value") == 1
