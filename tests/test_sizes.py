@@ -47,3 +47,29 @@ def test_lines_are_read_once(spark):
     assert sorted(r.qname for r in usable.collect()) == ["q", "t"]
     plan = usable._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(value") == 1
+
+
+def _tables(tmp_path, spark, parts, lines_):
+    day = datetime.datetime(2020, 1, 1)
+    spark.createDataFrame([(p, s) for p, s in parts], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(o, n, p, 1, day, float(n), 5.0, "N") for o, n, p in lines_], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+def _same_as_sql(spark, name, d):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("part", "lineitem"):
+        c.execute(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    df = queries.QUERIES[name](spark, d)
+    names = ", ".join(f'"{x}"' for x in df.columns)
+    assert sorted(str(tuple(r)) for r in df.collect()) == sorted(map(str, c.execute(f"select {names} from ({queries.ORACLES[name]})").fetchall()))
+
+
+def test_gfa_links_of_many_parts(spark, tmp_path):
+    # v * 1,000,000 + w is the same for both arcs.
+    d = _tables(tmp_path, spark, [(1, 9), (500_009, 9), (2, 9), (9, 9)], [(1, 1, 1), (1, 2, 500_009), (2, 1, 2), (2, 2, 9)])
+    _same_as_sql(spark, "gfa_links", d)
+    d = _tables(tmp_path / "more", spark, [(7, 9), (1_000_009, 9), (8, 9), (9, 9)], [(1, 1, 7), (1, 2, 1_000_009), (2, 1, 8), (2, 2, 9)])
+    _same_as_sql(spark, "gfa_links", d)
