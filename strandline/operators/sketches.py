@@ -9,13 +9,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import dna
+
+#: Upper-case A, C, G, T of bytes, 0 for all else; and complements of those.
+_BASE, _OTHER = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+for _x, _y in zip(b"ACGTacgt", b"ACGTACGT", strict=True):
+    _BASE[_x] = _y
+_OTHER[list(b"ACGT")] = list(b"TGCA")
+#: Places of a sequence that are looked at together, and k-mers in a batch.
+_PLACES = 1 << 17
+
+
+def canonical_kmers(seq: np.ndarray, k: int, palindromes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(places, k-mers as rows of bytes) of a sequence's bytes: the lesser of either strand, of A, C, G
+    and T alone. Work rises with the sequence's length, not with its square."""
+    if len(seq) < k:
+        return np.empty(0, np.int64), np.empty((0, k), np.uint8)
+    base = _BASE[seq]
+    other = np.concatenate([[0], np.cumsum(base == 0)])
+    at = np.flatnonzero(other[k:] == other[:-k])
+    forward = np.lib.stride_tricks.sliding_window_view(base, k)[at]
+    back = np.lib.stride_tricks.sliding_window_view(_OTHER[base][::-1], k)[len(seq) - k - at]
+    differ = forward != back
+    first = differ.argmax(axis=1)[:, None]
+    less = np.take_along_axis(back, first, 1) < np.take_along_axis(forward, first, 1)
+    least = np.where(less, back, forward)
+    keep = slice(None) if palindromes else differ.any(axis=1)
+    return at[keep], least[keep]
 
 
 def kmer_rows(seqs: DataFrame, k: int, palindromes: bool = False) -> DataFrame:
     """name, pos, kmer: canonical k-mers (the lesser of either strand) of A, C, G and T; an index
-    leaves palindromes out, a sketch keeps them."""
-    return seqs.select("name", F.explode(dna.kmers(F.col("seq"), k, palindromes)).alias("x")).select("name", "x.pos", dna.canonical(F.col("x.kmer")).alias("kmer"))
+    leaves palindromes out, a sketch keeps them. By Arrow batches."""
+    kind = seqs.schema["name"].dataType.simpleString()
+
+    def told(names: pa.Array, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        name = names.take(pa.array(np.repeat([i for i, _, _ in parts], [len(at) for _, at, _ in parts]).astype(np.int64)))
+        at, text = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        ends = pa.py_buffer(np.arange(0, (len(at) + 1) * k, k, dtype=np.int32))
+        kmer = pa.Array.from_buffers(pa.string(), len(at), [None, ends, pa.py_buffer(np.ascontiguousarray(text))])
+        return pa.RecordBatch.from_arrays([name, pa.array(at.astype(np.int32)), kmer], names=["name", "pos", "kmer"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, n = [], 0
+            for i, seq in enumerate(batch.column(1)):
+                code = np.frombuffer((seq.as_py() or "").encode("ascii", "replace"), np.uint8)
+                for begin in range(0, max(len(code) - k + 1, 0), _PLACES):
+                    at, text = canonical_kmers(code[begin : begin + _PLACES + k - 1], k, palindromes)
+                    parts.append((i, at + begin, text))
+                    n += len(at)
+                    if n >= _PLACES:
+                        yield told(batch.column(0), parts)
+                        parts, n = [], 0
+            if parts:
+                yield told(batch.column(0), parts)
+
+    return seqs.select("name", "seq").mapInArrow(run, f"name {kind}, pos int, kmer string")
 
 
 def kmer_depth(index: DataFrame, reads: DataFrame, k: int, most: int = 65535) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import graph, intervals, lift, paf
+from strandline.operators import graph, intervals, lift, paf, sketches
 from strandline.plans import queries
 from strandline.sources import alignments, lines
 
@@ -86,3 +87,24 @@ def test_edit_adds_no_arc_again(spark):
     had = spark.createDataFrame([(2, 4, 0, 0, 0, 9, False)], "v long, w long, ov long, ow long, rank int, link_id long, comp boolean")
     assert graph.edit(s, had, join=had.drop("comp"))[1].count() == 2
     assert graph.edit(s, had, join=had.drop("comp"), parallel=True)[1].count() == 3
+
+
+def test_kmers_of_long_sequences(spark, monkeypatch):
+    def plain(seq, k, palindromes):
+        turned = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        each = ((i, seq[i : i + k].upper()) for i in range(len(seq) - k + 1))
+        return [(i, min(x, turned(x))) for i, x in each if set(x) <= set("ACGT") and (palindromes or x != turned(x))]
+
+    rng = random.Random(3)
+    monkeypatch.setattr(sketches, "_PLACES", 50)
+    texts = ["", "ACG", "acgtACGT", "NNNN", "AC\u00dfGTACGTT"] + ["".join(rng.choice("ACGTACGTACGTNact") for _ in range(n)) for n in (7, 60, 700)]
+    seqs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "name long, seq string").repartition(1)
+    for k in (4, 11, 40):
+        for whole in (False, True):
+            want = sorted((i, *x) for i, t in enumerate(texts) for x in plain(t, k, whole))
+            assert sorted(map(tuple, sketches.kmer_rows(seqs, k, whole).collect())) == want
+    # One sequence of 200,000 bases: its square was the work before.
+    long = spark.createDataFrame([(1, "ACGTTGCAAC" * 20_000)], "name long, seq string")
+    start = time.perf_counter()
+    assert sketches.kmer_rows(long, 13, True).count() == 199_988
+    assert time.perf_counter() - start < 20
