@@ -18,7 +18,7 @@ def ops(cigar: Column) -> Column:
 
 def pack(parsed: Column) -> Column:
     text = F.array_join(F.transform(parsed, lambda x: F.concat(x["len"].cast("string"), x["op"])), "")
-    return F.when(text == "", "*").otherwise(text)
+    return F.regexp_replace(text, "^$", "*")  # a case would make the text twice
 
 
 def merge_runs(parsed: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import cigar, spans
+from strandline.functions import cigar, cigarkernel, spans
 from strandline.operators import bubbles, chains, rewire, rewrite, scores, sketches
 from strandline.sources import alignments, gfa, maps
 
@@ -308,7 +308,7 @@ def finished_cigars(spark: SparkSession, d: str) -> DataFrame:
     two = F.when(F.col("rev"), 2).otherwise(0)
     span_r = F.when(at == 1, 4).otherwise(0) + 2 * q + 7 + dl + F.when(F.col("rev"), 3).otherwise(0)
     span_q = 2 * q + 6 + two
-    x = cigar.finished(cigar.assembled(lead, blocks, F.array(gap), trail), F.lit(100).cast("long"), 100 + span_r, at, at + span_q, at + span_q + 7)
+    x = cigarkernel.finished(lead, blocks, F.array(gap), trail, F.lit(100), 100 + span_r, at, at + span_q, at + span_q + 7)
     return n.select("id", x.alias("x")).select("id", "x.r_beg", "x.r_end", "x.cigar")
 
 
