@@ -36,24 +36,26 @@ def flanks(segments: DataFrame, arcs: DataFrame, starts: DataFrame, left: bool)
     the graph has so many. To the left the ends next to the boundary are taken, to the right what
     follows the overlaps. A walk stops at a segment without sequence, or after ``STEPS`` steps.
     All walks go on together, a join a step, so there are as many rounds as the longest has steps.
+    Rounds move numbers alone, and no side of theirs goes by way of the driver, however small it gets: there may be
+    many of them. Sequences are joined once, behind the last step.
     """
-    best = cut(best_neighbours(segments, arcs, left))
-    text = segments.select(F.col("seg_id").alias("_s"), "seq")
+    known = segments.where("seq IS NOT NULL AND seq <> '*'").select(F.col("seg_id").alias("_s"), "seq")
+    best = cut(best_neighbours(segments, arcs, left).join(known.select("_s"), segment("to") == F.col("_s"), "left_semi"))
     front = starts.select("start", "need", F.col("start").alias("v"), F.lit(0).cast("long").alias("have"))
     found = None
     for step in range(STEPS):
-        on = front.where("have < need").join(best, "v").join(text, segment("to") == F.col("_s")).where("seq IS NOT NULL AND seq <> '*'")
-        whole = dna.oriented(F.col("seq"), F.col("to").bitwiseAND(F.lit(1).cast("long")) == 1)
         take = F.least(F.col("new"), F.col("need") - F.col("have"))
         first = F.when(F.lit(left), F.col("new") - take).otherwise(F.col("skip"))
-        on = on.withColumn("_take", take).withColumn("piece", F.substr(whole, (first + 1).cast("int"), take.cast("int")))
-        on = cut(on.select("start", "need", F.col("to").alias("v"), (F.col("have") + F.col("_take")).alias("have"), "piece"))
-        piece = on.select("start", F.lit(-step if left else step).alias("at"), "piece")
-        found = piece if found is None else found.unionByName(piece)
-        front = on.drop("piece")
+        on = front.where("have < need").join(best.hint("merge"), "v")
+        on = cut(on.select("start", "need", F.col("to").alias("v"), (F.col("have") + take).alias("have"), first.alias("first"), take.alias("take")))
+        way = on.select("start", F.lit(-step if left else step).alias("at"), "v", "first", "take")
+        found = way if found is None else found.unionByName(way)
+        front = on.select("start", "need", "v", "have")
         if not front.limit(1).count():
             break
-    return found.groupBy("start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("seq"))
+    whole = dna.oriented(F.col("seq"), F.col("v").bitwiseAND(F.lit(1).cast("long")) == 1)
+    pieces = found.join(known, segment("v") == F.col("_s")).select("start", "at", F.substr(whole, (F.col("first") + 1).cast("int"), F.col("take").cast("int")).alias("piece"))
+    return pieces.groupBy("start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "").alias("seq"))
 
 
 def with_flanks(segments: DataFrame, arcs: DataFrame, flank: int, short: int) -> DataFrame:

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import graph, intervals, lift, paf, sketches
+from strandline.operators import flanks, graph, intervals, lift, paf, sketches
 from strandline.plans import queries
 from strandline.sources import alignments, lines
 
@@ -108,3 +108,15 @@ def test_kmers_of_long_sequences(spark, monkeypatch):
     start = time.perf_counter()
     assert sketches.kmer_rows(long, 13, True).count() == 199_988
     assert time.perf_counter() - start < 20
+
+
+def test_walks_send_nothing_by_the_driver(spark, monkeypatch):
+    plans = []
+    keep = lambda df: (real(df), plans.append(df._jdf.queryExecution().executedPlan().toString()))[0]  # noqa: E731  as it was run
+    real = flanks.cut
+    monkeypatch.setattr(flanks, "cut", keep)
+    segs = spark.createDataFrame([(i, f"s{i}", "ACGT"[i % 4] * 3 if i != 5 else "*", 3) for i in range(8)], "seg_id long, name string, seq string, length long")
+    arcs = spark.createDataFrame([(2 * i, 2 * i + 2, 1, 1, i) for i in range(7)], "v long, w long, ov long, ow long, link_id long")
+    starts = spark.createDataFrame([(0, 5), (4, 9), (12, 9)], "start long, need long")
+    assert {r.start: r.seq for r in flanks.flanks(segs, arcs, starts, False).collect()} == {0: "CCGGT"[:5], 4: "TTAA", 12: "TT"}
+    assert len(plans) > 3 and all("isFinalPlan=true" in p and "Broadcast" not in p for p in plans[1:])
