@@ -120,3 +120,19 @@ def test_walks_send_nothing_by_the_driver(spark, monkeypatch):
     starts = spark.createDataFrame([(0, 5), (4, 9), (12, 9)], "start long, need long")
     assert {r.start: r.seq for r in flanks.flanks(segs, arcs, starts, False).collect()} == {0: "CCGGT"[:5], 4: "TTAA", 12: "TT"}
     assert len(plans) > 3 and all("isFinalPlan=true" in p and "Broadcast" not in p for p in plans[1:])
+
+
+def test_searches_share_the_map(spark, monkeypatch):
+    from strandline.plans import tasks
+
+    made = []
+    real = lift.cut
+    monkeypatch.setattr(lift, "cut", lambda df: (made.append(tuple(df.columns)), real(df))[1])
+    monkeypatch.setattr(tasks, "cut", lambda df: (made.append(tuple(df.columns)), real(df))[1])
+    m = spark.createDataFrame([("p", 0, 30, "s", 0, 30, False), ("p", 70, 90, "s", 75, 95, False)], lift.MAP)
+    bed = spark.createDataFrame([(1, "p", 40, 60, "x")], "query_id long, ctg string, beg long, end long, rest string")
+    got = tasks.liftover_all(bed, m, min_frac=0.9, max_flank=60, flank_win=20, max_gap=40, max_hit=2, max_hops=0).collect()
+    assert [(r.tname, r.tbeg, r.tend, r.name) for r in got] == [("s", 30, 75, "p_40_60_ext")]
+    assert sum("a_beg" in c for c in made) == 1
+    # A side is left out only where direct hits alone are asked for and it has none of the contigs.
+    assert [lift.known(m, 128, c).both.count() for c in (None, bed, bed.selectExpr("'s' AS ctg"), bed.selectExpr("explode(array('s', 'p')) AS ctg"), bed.selectExpr("'z' AS ctg"))] == [4, 2, 2, 4, 0]
