@@ -1,3 +1,7 @@
+import random
+from pathlib import Path
+from urllib.parse import urlparse
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +36,41 @@ def test_deep_rules_are_no_cycles(spark):
         rewrite.expand(spark.createDataFrame([(1, 1, 2), (2, 1, 1)], "key long, ord int, part long")).collect()
 
 
+def _expanded(rules):
+    """Rows of each key's expansion, by recursion."""
+    down = {}
+    for key, n, part in rules:
+        down.setdefault(key, []).append((n, part))
+
+    def ways(part):
+        return [(n, *way) for n, nxt in down[part] for way in ways(nxt)] if part in down else [(part,)]
+
+    return sorted((key, way[-1], list(way[:-1])) for key in down for way in ways(key))
+
+
+@pytest.mark.parametrize("listed", [2, 128])
+def test_expand_by_lists(spark, monkeypatch, listed):
+    monkeypatch.setattr(rewrite, "_LISTED", listed)
+    rnd = random.Random(listed)
+    # Keys 0 to 11 lead up, some to ends; one rule is there twice, and 5 has more rules than a list has places.
+    rules = [(k, n, rnd.choice([k + 1, k + 3, 50 + k])) for k in range(12) for n in range(rnd.choice([1, 2]))]
+    rules += [rules[0], *((5, n, rnd.choice([7, 60 + n])) for n in range(3, 9))]
+    df = spark.createDataFrame(rules, "key long, ord int, part long")
+    got = rewrite.expand(df)
+    assert got.dtypes == [("root", "bigint"), ("part", "bigint"), ("path", "array<int>")]
+    assert sorted((r.root, r.part, list(r.path)) for r in got.collect()) == _expanded(rules)
+    told = sorted((r.root, r.part, [int(x) for x in r.path.split(".")]) for r in rewrite.expand(df, text=True).collect())
+    assert told == _expanded(rules)
+
+
+def test_expansions_are_not_written(spark):
+    size = lambda: sum(f.stat().st_size for f in Path(urlparse(spark.sparkContext.getCheckpointDir()).path).rglob("part-*"))
+    before = size() if spark.sparkContext.getCheckpointDir() else 0
+    rules = spark.createDataFrame([(k, n, k + 1) for k in range(4) for n in range(12)], "key long, ord int, part long")
+    assert rewrite.expand(rules).count() == 12 + 12**2 + 12**3 + 12**4
+    assert size() - before < 200_000
+
+
 def test_covered_length_of_repeated_rows(spark):
     q = spark.createDataFrame([("c", 0, 10), ("c", 0, 10), ("c", 100, 110)], "ctg string, b long, e long")
     m = spark.createDataFrame([("c", 2, 6)], "ctg string, beg long, end long")
