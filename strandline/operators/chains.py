@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,22 +238,104 @@ def seed_blocks(at: list[tuple[int, int]], k: int) -> list[dict]:
 _BLOCKS = "array<struct<r_beg:bigint,r_end:bigint,q_beg:bigint,q_end:bigint>>"
 
 
+#: Pairs of seeds that are weighed at once, and rounds in which scores may still rise.
+_PAIRS, _ROUNDS = 1 << 20, 32
+
+
+def may_chain(r: np.ndarray, q: np.ndarray, first: np.ndarray, k: int, o: dict) -> np.ndarray:
+    """Of parts (seeds in order; ``first``: where each begins) those in which a chain may reach ``min_sc``; the
+    others have none. Scores over all seeds in reach, whatever ``max_skip`` says, bound those of
+    ``best_links`` from above. Parts of more than eight times ``_PAIRS`` aren't weighed and may have one."""
+    size = np.diff(np.append(first, len(r)))
+    if o["min_sc"] <= k and o["min_cnt"] <= 1:
+        return np.ones(len(first), bool)
+    live = np.zeros(len(first), bool)
+    pairs = size * np.minimum(size - 1, o["max_iter"])
+    live[pairs > 8 * _PAIRS] = True
+    shifts = range(o["bw"] + 1)
+    gap, steps = np.array([o["pen_gap"] * x for x in shifts]), np.array([0.5 * (math.floor(math.log2(x + 1)) if x else 0) for x in shifts])
+    weighed = np.flatnonzero((size > 1) & ~live)
+    for some in np.split(weighed, np.flatnonzero(np.diff(np.cumsum(pairs[weighed]) // _PAIRS)) + 1):
+        part = np.repeat(some, size[some])  # the part of each seed, and the seed's place in it
+        rank = np.arange(len(part)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        at, found = first[part] + rank, []
+        x, y = r[at], q[at]
+        late = np.arange(len(part))
+        for back in range(1, min(int(size[some].max(initial=1)) - 1, o["max_iter"]) + 1):
+            late = late[rank[late] >= back]
+            dr, dq = x[late] - x[late - back], y[late] - y[late - back]
+            late, dr, dq = (c[dr <= o["max_dist"]] for c in (late, dr, dq))  # earlier seeds lie further still
+            ok = (dq > 0) & (dq <= o["max_dist"]) & (dr > 0) & (np.abs(dr - dq) <= o["bw"])
+            i, dr, dq = late[ok], dr[ok], dq[ok]
+            shift, near = np.abs(dr - dq), np.minimum(dr, dq)
+            price = (gap[shift] + o["pen_skip"] * near + steps[shift]).astype(np.int64)
+            found.append((i, i - back, np.minimum(k, near) - np.where((shift > 0) | (near > k), price, 0)))
+        if not found:
+            continue
+        i, j, gain = (np.concatenate(c) for c in zip(*found, strict=True))
+        score, rising = np.full(len(part), k, np.int64), np.empty(0, np.int64)
+        for _ in range(_ROUNDS):
+            told = score.copy()
+            np.maximum.at(told, i, score[j] + gain)
+            rising = np.flatnonzero(told > score)
+            score = told
+            if not len(rising):
+                break
+        live[part[score >= o["min_sc"]]] = True
+        live[part[rising]] = True
+    return live
+
+
 def seed_chains(seeds: DataFrame, k: int, preset: str | dict = "base") -> DataFrame:
     """q_name, r_name, rev, score, n_seeds, blocks: chains of seeds (q_name, r_name, rev, q_pos, r_pos as
     ``sketches.seeds``). ``preset`` names one of ``PRESETS`` or gives its entries. No chain
-    crosses a part of the reference longer than ``max_dist`` without seeds."""
+    crosses a part of the reference longer than ``max_dist`` without seeds. Seeds are sorted once
+    and parted in Arrow batches; only parts that ``may_chain`` are walked seed by seed."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     o = PRESETS[preset] if isinstance(preset, str) else {**BASE, **preset}
     o = {**o, "max_dist": max(o["max_dist"], o["bw"])}
-    keys = ["q_name", "r_name", "rev", "_part"]
-    parted = stretches(seeds.select("q_name", "r_name", "rev", "q_pos", "r_pos"), keys[:3], "r_pos", "r_pos", o["max_dist"])
+    keys, places = ["q_name", "r_name", "rev"], ["r_pos", "q_pos"]
+    kind = dict(seeds.dtypes)
+    schema = f"q_name {kind['q_name']}, r_name {kind['r_name']}, rev boolean, score long, n_seeds long, blocks {_BLOCKS}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def fold(rows: list[dict]) -> list[dict]:
-        at = [(x["r_pos"], x["q_pos"]) for x in rows]
-        head = {c: rows[0][c] for c in keys[:3]}
-        return [{**head, "score": s, "n_seeds": len(way), "blocks": seed_blocks([at[i] for i in way], k)} for s, way in walk_back(*best_links(at, k, o), o)]
+    def starts(rows: pa.Table) -> np.ndarray:
+        r = rows["r_pos"].to_numpy()
+        new = np.diff(r) > o["max_dist"]
+        for c in keys:
+            x, y = rows[c].slice(1), rows[c].slice(0, rows.num_rows - 1)
+            other = pc.or_(pc.fill_null(pc.not_equal(x, y), False), pc.xor(pc.is_null(x), pc.is_null(y)))
+            new |= other.to_numpy().astype(bool)
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    def told(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        r, q = (rows[c].to_numpy().astype(np.int64) for c in places)
+        out, ends = [], np.append(first[1:], rows.num_rows)
+        for n in np.flatnonzero(may_chain(r, q, first, k, o)):
+            at = list(zip(r[first[n] : ends[n]].tolist(), q[first[n] : ends[n]].tolist(), strict=True))
+            head = {c: rows[c][int(first[n])].as_py() for c in keys}
+            out += [{**head, "score": s, "n_seeds": len(way), "blocks": seed_blocks([at[i] for i in way], k)} for s, way in walk_back(*best_links(at, k, o), o)]
+        return pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    kind = dict(seeds.dtypes)
-    return by_group(parted, keys, ["r_pos", "q_pos"], fold, f"q_name {kind['q_name']}, r_name {kind['r_name']}, rev boolean, score long, n_seeds long, blocks {_BLOCKS}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # a part that goes on, and a batch's last part
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            ends = pa.Table.from_batches([b.slice(b.num_rows - 1 if n == 0 else 0) for n, b in enumerate(held[-2:])]) if len(held) > 1 else pa.Table.from_batches(held)
+            if len(starts(ends)) == 1:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            first = starts(rows)
+            yield told(rows.slice(0, first[-1]), first[:-1])
+            held = rows.slice(first[-1]).to_batches()
+        if held:
+            yield told(pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64))
+
+    return seeds.select(*keys, *places).repartition(*keys).sortWithinPartitions(*keys, *places).mapInArrow(run, schema)
 
 
 # ---- choices among alignments -----------------------------------------------------------------------

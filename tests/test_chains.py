@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,43 @@ def test_best_links_against_all_chains():
         assert score == want
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_seed_chains_of_many_parts(spark, batch):
+    rnd = random.Random(batch)
+    rows = []
+    for q in (None, *range(30)):
+        for r in ("a", "b"):
+            n, wide = rnd.choice([1, 2, 5, 40]), rnd.choice([60, 1500])
+            rows += [(q, r, rnd.random() < 0.2, y, x) for x, y in {(rnd.randrange(wide), rnd.randrange(wide)) for _ in range(n)}]
+            rows += [(q, r, False, 7 + x, x) for x in range(0, rnd.choice([0, 50]), 5)]
+    preset = {"min_sc": 18, "min_cnt": 2, "max_dist": 100, "bw": 20, "pen_skip": 0.1}
+    o, want, groups = {**chains.BASE, **preset}, [], {}
+    for q, r, rev, y, x in rows:
+        groups.setdefault((q, r, rev), []).append((x, y))
+    for key, at in groups.items():
+        at.sort()
+        cuts = [0, *(i for i in range(1, len(at)) if at[i][0] - at[i - 1][0] > 100), len(at)]
+        for beg, end in itertools.pairwise(cuts):
+            part = at[beg:end]
+            want += [(*key, s, len(w), chains.seed_blocks([part[i] for i in w], 9)) for s, w in chains.walk_back(*chains.best_links(part, 9, o), o)]
+    df = spark.createDataFrame(rows, "q_name long, r_name string, rev boolean, q_pos long, r_pos long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [(x.q_name, x.r_name, x.rev, x.score, x.n_seeds, [b.asDict() for b in x.blocks]) for x in chains.seed_chains(df, 9, preset).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(want) > 20 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_parts_that_cannot_chain():
+    # No part reaches 18 but the last; they aren't walked seed by seed.
+    parts = [[(0, 0)], [(0, 50), (1, 10), (2, 90)], [(0, 0), (3, 3)], [(x, x) for x in range(0, 40, 5)]]
+    first = [0, 1, 4, 6]
+    r, q = (np.array([x[c] for p in parts for x in p]) for c in (0, 1))
+    assert chains.may_chain(r, q, np.array(first), 9, {**chains.BASE, "min_sc": 18, "min_cnt": 2}).tolist() == [False, False, False, True]
+    assert chains.may_chain(r, q, np.array(first), 9, {**chains.BASE, "min_sc": 9, "min_cnt": 1}).all()
+
+
 def test_walk_back_takes_each_seed_once():
     at = [(x, x) for x in range(0, 60, 5)] + [(500 + x, 100 + x) for x in range(0, 40, 5)]
     o = {**chains.BASE, "min_sc": 10}
