@@ -238,8 +238,8 @@ def seed_blocks(at: list[tuple[int, int]], k: int) -> list[dict]:
 _BLOCKS = "array<struct<r_beg:bigint,r_end:bigint,q_beg:bigint,q_end:bigint>>"
 
 
-#: Pairs of seeds that are weighed at once, and rounds in which scores may still rise.
-_PAIRS, _ROUNDS = 1 << 20, 32
+#: Seeds and pairs of seeds that are weighed at once, and rounds in which scores may still rise.
+_ROWS, _PAIRS, _ROUNDS = 1 << 16, 1 << 20, 32
 
 
 def may_chain(r: np.ndarray, q: np.ndarray, first: np.ndarray, k: int, o: dict) -> np.ndarray:
@@ -320,20 +320,22 @@ def seed_chains(seeds: DataFrame, k: int, preset: str | dict = "base") -> DataFr
         return pa.RecordBatch.from_pylist(out, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # a part that goes on, and a batch's last part
+        held, n, want = [], 0, _ROWS  # the last part goes on in the next batch
         for batch in batches:
-            if not batch.num_rows:
-                continue
             held.append(batch)
-            ends = pa.Table.from_batches([b.slice(b.num_rows - 1 if n == 0 else 0) for n, b in enumerate(held[-2:])]) if len(held) > 1 else pa.Table.from_batches(held)
-            if len(starts(ends)) == 1:
+            n += batch.num_rows
+            if n < want:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             first = starts(rows)
-            yield told(rows.slice(0, first[-1]), first[:-1])
+            if len(first) > 1:
+                yield told(rows.slice(0, first[-1]), first[:-1])
             held = rows.slice(first[-1]).to_batches()
-        if held:
-            yield told(pa.Table.from_batches(held).combine_chunks(), np.zeros(1, np.int64))
+            n = rows.num_rows - int(first[-1])
+            want = max(_ROWS, 2 * n)
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield told(rows, starts(rows))
 
     return seeds.select(*keys, *places).repartition(*keys).sortWithinPartitions(*keys, *places).mapInArrow(run, schema)
 

@@ -140,19 +140,22 @@ def minimizers_of(seq: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.
     return told, key[told], (forward > back)[told]
 
 
-def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
+def minimizers(seqs: DataFrame, k: int, w: int, length: bool = False) -> DataFrame:
     """name, pos, key, rev: minimizers (``minimizers_of``) of sequences, by Arrow batches, so that a
-    sequence's k-mers are never rows of their own."""
+    sequence's k-mers are never rows of their own. With ``length`` also that of the sequence."""
     kind = seqs.schema["name"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [minimizers_of(s or "", k, w) for s in batch.column(1).to_pylist()]
-            name = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
+            texts = [s or "" for s in batch.column(1).to_pylist()]
+            found = [minimizers_of(s, k, w) for s in texts]
+            counts = np.array([len(f[0]) for f in found], np.int64)
+            name = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), counts)))
+            size = [pa.array(np.repeat(np.array([len(s) for s in texts], np.int64), counts))] if length else []
             pos, key, rev = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in range(3))
-            yield pa.RecordBatch.from_arrays([name, pa.array(pos.astype(np.int64)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(rev.astype(bool))], names=["name", "pos", "key", "rev"])
+            yield pa.RecordBatch.from_arrays([name, pa.array(pos.astype(np.int64)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(rev.astype(bool)), *size], names=["name", "pos", "key", "rev", "length"][: 4 + len(size)])
 
-    return seqs.select("name", "seq").mapInArrow(run, f"name {kind}, pos long, key long, rev boolean")
+    return seqs.select("name", "seq").mapInArrow(run, f"name {kind}, pos long, key long, rev boolean{', length long' if length else ''}")
 
 
 def occurrence_limit(rows: DataFrame, key: str, fraction: float) -> DataFrame:

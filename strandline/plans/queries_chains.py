@@ -232,7 +232,7 @@ def hit_chains(spark: SparkSession, d: str) -> DataFrame:
 def seed_chains(spark: SparkSession, d: str) -> DataFrame:
     """Documents against the benchmark: minimizers, seeds, chains, and chains joined."""
     docs, bench = fx.sequences(spark, d), fx.benchmark_sequences(spark, d)
-    q = sketches.minimizers(docs, 9, 6).join(docs.select("name", F.char_length("seq").alias("length")), "name")
+    q = sketches.minimizers(docs, 9, 6, length=True)
     found = chains.seed_chains(sketches.seeds(q, sketches.minimizers(bench, 9, 6), 9, 0.01), 9, {"min_sc": 18, "min_cnt": 2, "max_dist": 500, "bw": 100})
     return chains.join_chains(found, 200, 50)
 

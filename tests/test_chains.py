@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import bubbles, chains
+from strandline.operators import bubbles, chains, sketches
 from strandline.plans import tasks
 
 
@@ -86,7 +86,8 @@ def test_best_links_against_all_chains():
 
 
 @pytest.mark.parametrize("batch", [3, 10_000])
-def test_seed_chains_of_many_parts(spark, batch):
+def test_seed_chains_of_many_parts(spark, monkeypatch, batch):
+    monkeypatch.setattr(chains, "_ROWS", batch)
     rnd = random.Random(batch)
     rows = []
     for q in (None, *range(30)):
@@ -113,6 +114,14 @@ def test_seed_chains_of_many_parts(spark, batch):
     assert len(want) > 20 and sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_minimizers_tell_lengths(spark):
+    # Sequences aren't read again for their lengths.
+    seqs = spark.createDataFrame([(1, "ACGTTGCAACGGTA"), (2, "ACG"), (3, None), (4, "GATTACAGATTACAGG")], "name long, seq string")
+    got = sketches.minimizers(seqs, 5, 3, length=True)
+    assert {(r.name, r.length) for r in got.collect()} == {(1, 14), (4, 16)}
+    assert sorted(map(tuple, got.drop("length").collect())) == sorted(map(tuple, sketches.minimizers(seqs, 5, 3).collect()))
+
+
 def test_parts_that_cannot_chain():
     # No part reaches 18 but the last; they aren't walked seed by seed.
     parts = [[(0, 0)], [(0, 50), (1, 10), (2, 90)], [(0, 0), (3, 3)], [(x, x) for x in range(0, 40, 5)]]
