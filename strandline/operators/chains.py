@@ -245,31 +245,37 @@ _ROWS, _PAIRS, _ROUNDS = 1 << 16, 1 << 20, 32
 def may_chain(r: np.ndarray, q: np.ndarray, first: np.ndarray, k: int, o: dict) -> np.ndarray:
     """Of parts (seeds in order; ``first``: where each begins) those in which a chain may reach ``min_sc``; the
     others have none. Scores over all seeds in reach, whatever ``max_skip`` says, bound those of
-    ``best_links`` from above. Parts of more than eight times ``_PAIRS`` aren't weighed and may have one."""
+    ``best_links`` from above. Where more than eight times ``_PAIRS`` may follow one another, parts count as such."""
     size = np.diff(np.append(first, len(r)))
     if o["min_sc"] <= k and o["min_cnt"] <= 1:
         return np.ones(len(first), bool)
     live = np.zeros(len(first), bool)
     pairs = size * np.minimum(size - 1, o["max_iter"])
-    live[pairs > 8 * _PAIRS] = True
     shifts = range(o["bw"] + 1)
     gap, steps = np.array([o["pen_gap"] * x for x in shifts]), np.array([0.5 * (math.floor(math.log2(x + 1)) if x else 0) for x in shifts])
-    weighed = np.flatnonzero((size > 1) & ~live)
+    weighed = np.flatnonzero(size > 1)
     for some in np.split(weighed, np.flatnonzero(np.diff(np.cumsum(pairs[weighed]) // _PAIRS)) + 1):
         part = np.repeat(some, size[some])  # the part of each seed, and the seed's place in it
         rank = np.arange(len(part)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
-        at, found = first[part] + rank, []
-        x, y = r[at], q[at]
+        at = first[part] + rank
+        at = at[np.lexsort((q[at], part))]  # by the query, which is often the longer side
+        x, y, found, n, back = r[at], q[at], [], 0, 0
         late = np.arange(len(part))
-        for back in range(1, min(int(size[some].max(initial=1)) - 1, o["max_iter"]) + 1):
+        while len(late) and n <= 8 * _PAIRS:
+            back += 1
             late = late[rank[late] >= back]
+            dq = y[late] - y[late - back]
+            late = late[dq <= o["max_dist"]]  # earlier seeds lie further still
             dr, dq = x[late] - x[late - back], y[late] - y[late - back]
-            late, dr, dq = (c[dr <= o["max_dist"]] for c in (late, dr, dq))  # earlier seeds lie further still
-            ok = (dq > 0) & (dq <= o["max_dist"]) & (dr > 0) & (np.abs(dr - dq) <= o["bw"])
+            ok = (dq > 0) & (dr > 0) & (dr <= o["max_dist"]) & (np.abs(dr - dq) <= o["bw"])
             i, dr, dq = late[ok], dr[ok], dq[ok]
             shift, near = np.abs(dr - dq), np.minimum(dr, dq)
             price = (gap[shift] + o["pen_skip"] * near + steps[shift]).astype(np.int64)
             found.append((i, i - back, np.minimum(k, near) - np.where((shift > 0) | (near > k), price, 0)))
+            n += len(i)
+        if len(late):  # too many pairs
+            live[some] = True
+            continue
         if not found:
             continue
         i, j, gain = (np.concatenate(c) for c in zip(*found, strict=True))
